@@ -20,6 +20,7 @@ from telemill.fixed_values import (
     TRUE_TEXTS,
     UNKNOWN,
 )
+from telemill.functions import sql_text
 from telemill.functions.numbers import real_number, whole_number
 
 
@@ -29,12 +30,14 @@ def attribute(logs: DataFrame, key: str) -> Column:
     return F.col(promoted) if promoted in logs.columns else F.col("attributes").getItem(key)
 
 
-def event_family(event_name: Column) -> Column:
-    """Family of an event name, NULL when it has none. The endings exclude each other."""
-    family = F.lit(None).cast("string")
-    for name, pattern in EVENT_FAMILIES.items():
-        family = F.when(event_name.like(pattern), F.lit(name)).otherwise(family)
-    return family
+def event_family(column: str = "event_name") -> Column:
+    """Family of the event name in a column, NULL when it has none. No name has two."""
+    return F.expr(
+        sql_text.first_match(
+            (f"{sql_text.name(column)} LIKE {sql_text.literal(pattern)}", sql_text.literal(family))
+            for family, pattern in EVENT_FAMILIES.items()
+        )
+    )
 
 
 def is_family(logs: DataFrame, family: str) -> Column:

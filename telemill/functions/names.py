@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.fixed_values import (
@@ -17,6 +17,7 @@ from telemill.fixed_values import (
     Agent,
     ModelRule,
 )
+from telemill.functions import sql_text
 
 
 def _mcp_part(name: Column, group: int) -> Column:
@@ -46,60 +47,43 @@ def metric_base_name(name: Column) -> Column:
     return name
 
 
-def metric_agent(name: Column, agents: Sequence[Agent] = AGENTS) -> Column:
-    """Id of the first agent whose prefix starts a metric or event name."""
-    return _first_match((name.startswith(agent.metric_prefix), F.lit(agent.id)) for agent in agents)
-
-
-def _first_match(cases) -> Column:
-    chain = None
-    for condition, value in cases:
-        chain = F.when(condition, value) if chain is None else chain.when(condition, value)
-    return F.lit(None).cast("string") if chain is None else chain
+def metric_agent(column: str, agents: Sequence[Agent] = AGENTS) -> Column:
+    """Id of the first agent whose prefix starts the metric or event name in a column."""
+    return F.expr(
+        sql_text.first_match(
+            (
+                f"startswith({sql_text.name(column)}, {sql_text.literal(agent.metric_prefix)})",
+                sql_text.literal(agent.id),
+            )
+            for agent in agents
+        )
+    )
 
 
-def _model_version(lowered: Column) -> Column:
-    inside = [(lowered.contains(mark), F.lit(version)) for mark, version in VERSION_INSIDE]
-    ending = [(lowered.endswith(mark), F.lit(version)) for mark, version in VERSION_AT_END]
-    return _first_match(inside + ending)
+def _contains(lowered: str, part: str) -> str:
+    return f"contains({lowered}, {sql_text.literal(part)})"
 
 
-def _rule_holds(lowered: Column, rule: ModelRule) -> Column:
-    holds = F.lit(True)
-    for part in rule.all_of:
-        holds = holds & lowered.contains(part)
+def _rule_holds(lowered: str, rule: ModelRule) -> str:
+    needed = [_contains(lowered, part) for part in rule.all_of]
     if rule.any_of:
-        some = F.lit(False)
-        for part in rule.any_of:
-            some = some | lowered.contains(part)
-        holds = holds & some
-    return holds
-
-
-def _by_model_rule(
-    name: Column, agents: Sequence[Agent], result: Callable[[Column, Agent, ModelRule], Column]
-) -> Column:
-    lowered = F.lower(name)
-    return _first_match(
-        (_rule_holds(lowered, rule), result(lowered, agent, rule))
-        for agent in agents
-        for rule in agent.model_rules
-    )
+        needed.append("(" + " OR ".join(_contains(lowered, part) for part in rule.any_of) + ")")
+    return " AND ".join(needed)
 
 
-def model_agent(name: Column, agents: Sequence[Agent] = AGENTS) -> Column:
-    """Id of the first agent with a rule for the model, NULL when none has."""
-    return _by_model_rule(name, agents, lambda lowered, agent, rule: F.lit(agent.id))
-
-
-def model_short(name: Column, agents: Sequence[Agent] = AGENTS) -> Column:
-    """Short model name by the agents' rules, else the name cut to its first bytes."""
+def _model_version(lowered: str) -> str:
+    inside = [(_contains(lowered, mark), sql_text.literal(v)) for mark, v in VERSION_INSIDE]
+    ending = [
+        (f"endswith({lowered}, {sql_text.literal(mark)})", sql_text.literal(version))
+        for mark, version in VERSION_AT_END
+    ]
+    return sql_text.first_match(inside + ending)
 
-    def short(lowered: Column, agent: Agent, rule: ModelRule) -> Column:
-        label = F.lit(rule.short)
-        return F.concat_ws("-", label, _model_version(lowered)) if rule.versioned else label
 
-    return F.coalesce(_by_model_rule(name, agents, short), _cut(name))
+def _short_label(lowered: str, rule: ModelRule) -> str:
+    label = sql_text.literal(rule.short)
+    # concat_ws leaves out a missing version together with its dash.
+    return f"concat_ws('-', {label}, {_model_version(lowered)})" if rule.versioned else label
 
 
 def _cut(name: Column) -> Column:
@@ -112,3 +96,33 @@ def _cut(name: Column) -> Column:
     return F.when(
         F.octet_length(name) > SHORT_NAME_BYTES, F.concat(F.coalesce(*prefixes), F.lit("..."))
     ).otherwise(name)
+
+
+def with_model_names(table: DataFrame, agents: Sequence[Agent] = AGENTS) -> DataFrame:
+    """Add short name and agent of the model in column ``model``.
+
+    The first rule that holds, in the order of the agents, gives both. Without
+    one there is no agent and the short name is the beginning of the name.
+    """
+    lowered = "_lowered_model"
+    rules = [(agent, rule) for agent in agents for rule in agent.model_rules]
+    agent = sql_text.first_match(
+        (_rule_holds(lowered, rule), sql_text.literal(agent.id)) for agent, rule in rules
+    )
+    short = sql_text.first_match(
+        (_rule_holds(lowered, rule), _short_label(lowered, rule)) for _, rule in rules
+    )
+    model = F.col("model")
+    # The lower-case name is a column of its own, so it is computed once.
+    return (
+        table.withColumn(lowered, F.lower(model))
+        .withColumns(
+            {
+                "short_model": F.when(
+                    model.isNotNull(), F.coalesce(F.expr(short), _cut(model))
+                ),
+                "agent": F.expr(agent),
+            }
+        )
+        .drop(lowered)
+    )

@@ -20,27 +20,23 @@ def real_number(text: Column) -> Column:
     return F.when(~text.rlike(r"[0-9.]\s*[dDfF]\s*$"), text.try_cast("double"))
 
 
-def plain_double_text(number: Column) -> Column:
-    """Shortest digits of a double without an exponent: 3.0 -> 3, 1.0E-7 -> 0.0000001."""
-    text = number.cast("string")
-    sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    mantissa = F.regexp_extract(text, r"^-?([0-9.]+)", 1)
-    exponent = F.coalesce(F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
-    whole = F.substring_index(mantissa, ".", 1)
-    fraction = F.regexp_replace(F.substring_index(mantissa, ".", -1), "0+$", "")
-    digits = F.concat(whole, fraction)
-    point = F.length(whole) + exponent
-    moved = (
-        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-        .when(point >= F.length(digits), F.rpad(digits, point, "0"))
-        .otherwise(
-            F.concat_ws(".", F.substring(digits, F.lit(1), point), F.substring(digits, point + 1, F.length(digits)))
-        )
-    )
-    unsigned = F.when(exponent != 0, moved).when(fraction == "", whole).otherwise(
-        F.concat_ws(".", whole, fraction)
-    )
-    return F.concat(sign, unsigned)
+def plain_double(text: str) -> str:
+    """SQL for a double's text without exponent and point zero: 3.0 -> 3, 1.0E-7 -> 0.0000001.
+
+    ``text`` is the expression of the double cast to string. Digits stay as
+    they are; only the point moves.
+    """
+    sign = f"if(startswith({text}, '-'), '-', '')"
+    mantissa = f"regexp_extract({text}, '^-?([0-9]+[.][0-9]+)', 1)"
+    digits = f"regexp_replace(regexp_replace({mantissa}, '[.]', ''), '(?<=[0-9])0+$', '')"
+    exponent = f"CAST(substring_index({text}, 'E', -1) AS INT)"
+    small = f"concat('0.', repeat('0', -{exponent} - 1), {digits})"
+    # The mantissa has one digit before the point, so the number has exponent + 1.
+    large = f"""if(length({digits}) <= {exponent} + 1,
+      rpad({digits}, {exponent} + 1, '0'),
+      concat(left({digits}, {exponent} + 1), '.', substring({digits}, {exponent} + 2)))"""
+    return f"""CASE WHEN NOT contains({text}, 'E') THEN regexp_replace({text}, '[.]0$', '')
+      WHEN {exponent} < 0 THEN concat({sign}, {small}) ELSE concat({sign}, {large}) END"""
 
 
 def saturating_bigint(number: Column) -> Column:

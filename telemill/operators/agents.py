@@ -29,12 +29,15 @@ def detected_agents(
         .join(tool_dim(spark, agents), "tool_name")
         .select("agent", "first_seen")
     )
-    by_model = (
+    models = (
         requests.filter(F.col("model").isNotNull())
         .groupBy("model")
         .agg(F.min("timestamp").alias("first_seen"))
-        .select(names.model_agent(F.col("model"), agents).alias("agent"), "first_seen")
+    )
+    by_model = (
+        names.with_model_names(models, agents)
         .filter(F.col("agent").isNotNull())
+        .select("agent", "first_seen")
     )
     first_seen = (
         by_tool.unionByName(by_model).groupBy("agent").agg(F.min("first_seen").alias("first_seen"))
@@ -53,15 +56,17 @@ def agent_sightings(logs: DataFrame, agents: Sequence[Agent] = AGENTS) -> DataFr
     """
     tool_result = A.is_family(logs, "tool_result")
     request = A.is_family(logs, "api_request")
+    telling = logs.filter(tool_result | request).select(
+        "timestamp",
+        F.when(tool_result, A.attribute(logs, "tool_name")).alias("tool_name"),
+        F.when(request, A.attribute(logs, "model")).alias("model"),
+    )
+    by_model = names.with_model_names(telling, agents).select(
+        "timestamp", "tool_name", F.col("agent").alias("model_agent")
+    )
     return (
-        logs.filter(tool_result | request)
-        .select(
-            "timestamp",
-            F.when(tool_result, A.attribute(logs, "tool_name")).alias("tool_name"),
-            F.when(request, names.model_agent(A.attribute(logs, "model"), agents)).alias("_by_model"),
-        )
-        .join(tool_dim(logs.sparkSession, agents), "tool_name", "left")
-        .select(F.coalesce("_by_model", "agent").alias("agent"), "timestamp")
+        by_model.join(tool_dim(logs.sparkSession, agents), "tool_name", "left")
+        .select(F.coalesce("model_agent", "agent").alias("agent"), "timestamp")
         .filter(F.col("agent").isNotNull())
     )
 
@@ -71,6 +76,6 @@ def events_by_prefix_agent(logs: DataFrame, agents: Sequence[Agent] = AGENTS) ->
     return (
         logs.groupBy("event_name")
         .agg(F.count("*").alias("events"))
-        .groupBy(names.metric_agent(F.col("event_name"), agents).alias("agent"))
+        .groupBy(names.metric_agent("event_name", agents).alias("agent"))
         .agg(F.sum("events").alias("events"))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from telemill.fixed_values import AGENTS, TOP_MODELS, Agent
 from telemill.functions import attributes as A
-from telemill.functions import names
+from telemill.functions.names import with_model_names
 
 
 def api_requests(logs: DataFrame, since: datetime | None = None) -> DataFrame:
@@ -62,23 +62,10 @@ def top_models(
     agents: Sequence[Agent] = AGENTS,
 ) -> DataFrame:
     """The models called most, with their short names."""
-    return (
-        calls_per_model(logs, since)
-        .orderBy(F.desc("calls"), F.asc("model"))
-        .limit(n)
-        .select("model", names.model_short(F.col("model"), agents).alias("short_model"), "calls")
-    )
-
-
-def with_model_names(table: DataFrame, agents: Sequence[Agent] = AGENTS) -> DataFrame:
-    """Add short name and agent of the model in column ``model``."""
-    model = F.col("model")
-    return table.withColumns(
-        {
-            "short_model": names.model_short(model, agents),
-            "agent": names.model_agent(model, agents),
-        }
+    most_called = (
+        calls_per_model(logs, since).orderBy(F.desc("calls"), F.asc("model")).limit(n)
     )
+    return with_model_names(most_called, agents).select("model", "short_model", "calls")
 
 
 def usage_by_short_model(

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemill.session import prepare_session
@@ -19,18 +19,39 @@ AS_OF = datetime(2024, 1, 31)
 _EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
-def _pick(selector: Column, *values: str | None) -> Column:
-    """The value at the place ``selector`` names; NULL places and the rest are NULL."""
-    chain = None
-    for place, value in enumerate(values):
-        if value is not None:
-            case = selector == place
-            chain = F.when(case, F.lit(value)) if chain is None else chain.when(case, F.lit(value))
-    return chain
-
-
-def _tenfold_text(value: Column, factor: int) -> Column:
-    return F.floor(value * factor).cast("bigint").cast("string")
+# Event name and attributes of an event.
+LOG_COLUMNS = {
+    "event_name": """
+        case when k = 99 then 'session_start'
+             when k = 98 then 'tool_result_modified'
+             when event_type = 'click' then 'tool_result'
+             when event_type = 'view' then 'claude_code.tool_result'
+             when event_type = 'signup' then 'api_request'
+             when event_type = 'purchase' then 'claude_code.api_request'
+             else 'gemini_cli.api_error' end""",
+    "tool_name": """
+        case user_id % 12
+             when 0 then 'Read' when 1 then 'Write' when 2 then 'Edit' when 3 then 'Bash'
+             when 4 then 'Grep' when 5 then 'shell' when 6 then 'read_file'
+             when 7 then 'run_shell_command' when 8 then 'mcp__context7__query-docs'
+             when 9 then 'mcp__plugin_foo_myserver__my-tool' when 10 then 'my_custom_tool'
+             end""",
+    "success": "case k % 10 when 0 then 'false' when 1 then null when 2 then '1' else 'true' end",
+    "duration_ms": """
+        case when k % 20 <> 3 then cast(cast(floor(value * 10) as bigint) as string) end""",
+    "decision": """
+        case k % 7 when 0 then 'rejected' when 1 then 'auto_approved' when 5 then null
+             when 6 then null else 'approved' end""",
+    "error": "case when k % 10 in (0, 1, 2) and k % 3 < 2 then concat('E', id) end",
+    "model": """
+        case user_id % 9
+             when 0 then 'claude-opus-4-5-20250514' when 1 then 'claude-sonnet-4-20250514'
+             when 2 then 'claude-3-5-haiku-20241022' when 3 then 'gpt-4o-2024-05-13'
+             when 4 then 'o3-mini' when 5 then 'gemini-1.5-flash-001'
+             when 6 then 'qwen2.5-coder-32b-instruct'
+             when 7 then 'some-very-long-unknown-model-name' end""",
+    "latency_ms": "case when k % 2 = 0 then cast(cast(floor(value * 7) as bigint) as string) end",
+}
 
 
 def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,141 +61,193 @@ def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_k(events: DataFrame) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int")
-    return events.select(
-        F.col("event_id").alias("id"),
-        F.col("ts").alias("timestamp"),
+    return events.selectExpr(
+        "event_id as id",
+        "ts as timestamp",
         "user_id",
         "event_type",
         "value",
-        k.alias("k"),
+        "cast(get_json_object(props, '$.k') as int) as k",
     )
 
 
-def flat_log_columns() -> dict[str, Column]:
-    """Event name and attributes of an event."""
-    k, user_id, event_type, value = (F.col(name) for name in ("k", "user_id", "event_type", "value"))
-    return {
-        "event_name": (
-            F.when(k == 99, "session_start")
-            .when(k == 98, "tool_result_modified")
-            .when(event_type == "click", "tool_result")
-            .when(event_type == "view", "claude_code.tool_result")
-            .when(event_type == "signup", "api_request")
-            .when(event_type == "purchase", "claude_code.api_request")
-            .otherwise("gemini_cli.api_error")
-        ),
-        "tool_name": _pick(
-            user_id % 12,
-            "Read",
-            "Write",
-            "Edit",
-            "Bash",
-            "Grep",
-            "shell",
-            "read_file",
-            "run_shell_command",
-            "mcp__context7__query-docs",
-            "mcp__plugin_foo_myserver__my-tool",
-            "my_custom_tool",
-        ),
-        "success": (
-            F.when(k % 10 == 0, "false").when(k % 10 == 2, "1").when(k % 10 != 1, "true")
-        ),
-        "duration_ms": F.when(k % 20 != 3, _tenfold_text(value, 10)),
-        "decision": _pick(
-            k % 7, "rejected", "auto_approved", "approved", "approved", "approved"
+def flat_logs(base: DataFrame) -> DataFrame:
+    """Log events with one column per attribute."""
+    columns = [f"{rule} as {name}" for name, rule in LOG_COLUMNS.items()]
+    return base.selectExpr("id", "timestamp", *columns)
+
+
+def log_events(base: DataFrame) -> DataFrame:
+    """Log events in the stored layout: the attribute map, and its asked-for keys as columns.
+
+    A NULL entry of the map reads like an absent one.
+    """
+    keys = [name for name in LOG_COLUMNS if name != "event_name"]
+    entries = ", ".join(f"'{key}', {LOG_COLUMNS[key]}" for key in keys)
+    return base.selectExpr(
+        "id",
+        "timestamp",
+        f"{LOG_COLUMNS['event_name']} as event_name",
+        "cast(null as string) as body",
+        f"map({entries}) as attributes",
+        *[f"{LOG_COLUMNS[key]} as attr_{key}" for key in keys],
+    )
+
+
+def _json_attribute(key: str, value: str, present: str) -> str:
+    return f"if({present}, named_struct('key', '{key}', 'value', {value}), null)"
+
+
+def log_payloads(base: DataFrame) -> DataFrame:
+    """The log events as OTLP/JSON requests of up to fifty records each.
+
+    Even rows give numbers as text, odd rows as JSON numbers and booleans; the
+    row's id travels as an attribute.
+    """
+    numbers = flat_logs(base).withColumns(
+        {
+            "odd": F.expr("id % 2 = 1"),
+            "nanos": F.expr("unix_micros(timestamp) * 1000"),
+        }
+    )
+
+    def value(text="null", whole="null", real="null", flag="null") -> str:
+        return f"""named_struct('stringValue', cast({text} as string),
+          'intValue', cast({whole} as variant), 'doubleValue', cast({real} as double),
+          'boolValue', cast({flag} as boolean))"""
+
+    def text_attribute(key: str, column: str) -> str:
+        return _json_attribute(key, value(text=column), f"{column} is not null")
+
+    attributes = [
+        text_attribute("event.name", "event_name"),
+        *[text_attribute(key, key) for key in ("tool_name", "decision", "error", "model")],
+        _json_attribute(
+            "success",
+            value(
+                text="if(not odd, success, null)",
+                whole="if(odd and success = '1', 1, null)",
+                flag="if(odd and success <> '1', success, null)",
+            ),
+            "success is not null",
         ),
-        "error": F.when((k % 10 <= 2) & (k % 3 < 2), F.concat(F.lit("E"), F.col("id").cast("string"))),
-        "model": _pick(
-            user_id % 9,
-            "claude-opus-4-5-20250514",
-            "claude-sonnet-4-20250514",
-            "claude-3-5-haiku-20241022",
-            "gpt-4o-2024-05-13",
-            "o3-mini",
-            "gemini-1.5-flash-001",
-            "qwen2.5-coder-32b-instruct",
-            "some-very-long-unknown-model-name",
+        _json_attribute(
+            "duration_ms",
+            value(whole=_number_or_text("cast(duration_ms as bigint)")),
+            "duration_ms is not null",
         ),
-        "latency_ms": F.when(k % 2 == 0, _tenfold_text(value, 7)),
-    }
+        _json_attribute("latency_ms", value(real="latency_ms"), "latency_ms is not null"),
+        _json_attribute("row_id", value(whole=_number_or_text("id")), "true"),
+    ]
+    record = f"""named_struct(
+      'timeUnixNano', {_number_or_text('nanos')},
+      'body', named_struct('stringValue', concat('event ', id)),
+      'attributes', filter(array({', '.join(attributes)}), a -> a is not null))"""
+    return _requests(numbers, record, "resourceLogs", "scopeLogs", "logRecords")
+
+
+def _number_or_text(number: str) -> str:
+    return f"if(odd, cast({number} as variant), cast(cast({number} as string) as variant))"
+
+
+def _requests(rows: DataFrame, entry: str, outer: str, inner: str, leaf: str) -> DataFrame:
+    """Requests of the entries of fifty rows; ids are unique, which bounds a request."""
+    document = f"""to_json(named_struct('{outer}', array(named_struct(
+      '{inner}', array(named_struct('{leaf}', entries))))))"""
+    return (
+        rows.selectExpr("id div 50 as request", "timestamp", f"{entry} as entry")
+        .groupBy("request")
+        .agg(F.collect_list("entry").alias("entries"), F.max("timestamp").alias("ingest_ts"))
+        .selectExpr("request", "ingest_ts", f"{document} as payload")
+    )
 
 
-def flat_logs(base: DataFrame) -> DataFrame:
-    """Log events with one column per attribute."""
-    return base.select("id", "timestamp", *[c.alias(n) for n, c in flat_log_columns().items()])
+def metric_payloads(base: DataFrame) -> DataFrame:
+    """Token, cost and session rows as OTLP/JSON requests of up to fifty points per table."""
 
+    def metric(name: str, kind: str, as_int: str, as_double: str, attributes: str) -> str:
+        points = f"""array(named_struct('asInt', cast({as_int} as variant),
+          'asDouble', cast({as_double} as double), 'attributes', {attributes}))"""
+        given = f"named_struct('dataPoints', {points})"
+        absent = f"cast(null as {_POINT_LIST})"
+        return f"""named_struct('name', {name}, 'sum', {given if kind == 'sum' else absent},
+          'gauge', {given if kind == 'gauge' else absent})"""
 
-def log_events(base: DataFrame) -> DataFrame:
-    """Log events with their attributes in a map; a NULL entry reads like an absent one."""
-    columns = flat_log_columns()
-    event_name = columns.pop("event_name")
-    entries = [part for name, column in columns.items() for part in (F.lit(name), column)]
-    return base.select(
+    no_attributes = f"cast(null as {_POINT_ATTRIBUTES})"
+    token_attributes = """array(named_struct('key', 'type',
+      'value', named_struct('stringValue', token_type)))"""
+    odd = F.expr("id % 2 = 1")
+    tokens = token_usage(base).withColumn("odd", odd).selectExpr(
+        "id",
+        "timestamp",
+        metric(
+            "'claude_code.token.usage'", "sum", _number_or_text("count"), "null", token_attributes
+        )
+        + " as metric",
+    )
+    costs = cost_usage(base).selectExpr(
+        "id",
+        "timestamp",
+        metric("'claude_code.cost.usage'", "gauge", "null", "cost_usd", no_attributes)
+        + " as metric",
+    )
+    metric_name = """concat('claude_code.', metric_name,
+      if(metric_name = 'active_time', '.total', '.count'))"""
+    sessions = session_metrics(base).withColumn("odd", odd).selectExpr(
         "id",
         "timestamp",
-        event_name.alias("event_name"),
-        F.lit(None).cast("string").alias("body"),
-        F.create_map(*entries).alias("attributes"),
+        metric(metric_name, "sum", _number_or_text("value"), "null", no_attributes) + " as metric",
     )
+    rows = tokens.unionByName(costs).unionByName(sessions)
+    return _requests(rows, "metric", "resourceMetrics", "scopeMetrics", "metrics")
+
+
+_POINT_ATTRIBUTES = "array<struct<key:string,value:struct<stringValue:string>>>"
+_POINT_LIST = (
+    f"struct<dataPoints:array<struct<asInt:variant,asDouble:double,attributes:{_POINT_ATTRIBUTES}>>>"
+)
 
 
 def tool_events(base: DataFrame) -> DataFrame:
     """Legacy tool events."""
-    k = F.col("k")
-    tool = F.when(F.col("user_id") % 3 == 0, "Read").when(F.col("user_id") % 3 == 1, "Bash")
-    return base.select(
+    return base.selectExpr(
         "id",
         "timestamp",
-        tool.otherwise("legacy_tool").alias("tool_name"),
-        (k % 4 != 0).alias("success"),
-        F.floor("value").cast("bigint").alias("duration_ms"),
-        F.when(k % 8 == 0, F.concat(F.lit("L"), F.col("id").cast("string"))).alias("error"),
+        """case user_id % 3 when 0 then 'Read' when 1 then 'Bash' else 'legacy_tool' end
+           as tool_name""",
+        "k % 4 <> 0 as success",
+        "cast(floor(value) as bigint) as duration_ms",
+        "case when k % 8 = 0 then concat('L', id) end as error",
     )
 
 
 def token_usage(base: DataFrame) -> DataFrame:
-    token_type = _pick(
-        F.col("k") % 12,
-        "input",
-        "output",
-        "cacheRead",
-        "cacheCreation",
-        "prompt_tokens",
-        "completion",
-        "cache",
-        "thought",
-        "input_tokens",
-        "cache_hit",
-        "tool",
-        "unknown",
-    )
-    return base.select(
+    return base.selectExpr(
         "id",
         "timestamp",
-        token_type.alias("token_type"),
-        F.floor(F.col("value") * 10).cast("bigint").alias("count"),
+        """case k % 12 when 0 then 'input' when 1 then 'output' when 2 then 'cacheRead'
+             when 3 then 'cacheCreation' when 4 then 'prompt_tokens' when 5 then 'completion'
+             when 6 then 'cache' when 7 then 'thought' when 8 then 'input_tokens'
+             when 9 then 'cache_hit' when 10 then 'tool' else 'unknown' end as token_type""",
+        "cast(floor(value * 10) as bigint) as count",
     )
 
 
 def cost_usage(base: DataFrame) -> DataFrame:
     """Cost rows; only purchases cost something."""
-    return base.filter(F.col("event_type") == "purchase").select(
-        "id", "timestamp", (F.col("value") / 1000).alias("cost_usd")
+    return base.filter("event_type = 'purchase'").selectExpr(
+        "id", "timestamp", "value / 1000 as cost_usd"
     )
 
 
 def session_metrics(base: DataFrame) -> DataFrame:
-    k = F.col("k")
-    amount = F.floor("value").cast("bigint")
-    return base.select(
+    return base.selectExpr(
         "id",
         "timestamp",
-        _pick(k % 5, "lines_of_code", "commit", "commits", "active_time", "pull_request").alias(
-            "metric_name"
-        ),
-        F.when((k % 5 == 0) & (k % 2 == 1), -amount).otherwise(amount).alias("value"),
+        """case k % 5 when 0 then 'lines_of_code' when 1 then 'commit' when 2 then 'commits'
+             when 3 then 'active_time' else 'pull_request' end as metric_name""",
+        """case when k % 5 = 0 and k % 2 = 1 then -cast(floor(value) as bigint)
+             else cast(floor(value) as bigint) end as value""",
     )
 
 

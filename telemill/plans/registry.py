@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telemill.functions.names import with_model_names
 from telemill.functions.time_ranges import since_for
 from telemill.operators import agents, api, events, ordering, tools, usage
 from telemill.plans import fixture
@@ -122,7 +123,7 @@ BATCH: dict[str, Callable[[Telemetry], DataFrame]] = {
     "top_models": lambda t: api.top_models(t.log_events),
     "model_short_usage": lambda t: api.usage_by_short_model(t.log_events),
     "model_agents": lambda t: tools.with_agent_name(
-        api.with_model_names(api.calls_per_model(t.log_events).select("model"))
+        with_model_names(api.calls_per_model(t.log_events).select("model"))
     ).select("model", "short_model", "agent", "agent_name"),
     # Agents
     "detected_agents": lambda t: agents.detected_agents(t.calls(), api.api_requests(t.log_events)),

@@ -12,16 +12,11 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from telemill.fixed_values import AGENTS, Agent
-
-
-def _literal(value: str | int) -> str:
-    if isinstance(value, int):
-        return str(value)
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+from telemill.functions import sql_text
 
 
 def _literal_rows(spark: SparkSession, rows: Iterable[tuple], columns: dict[str, str]) -> DataFrame:
-    tuples = ["(" + ", ".join(_literal(value) for value in row) + ")" for row in rows]
+    tuples = ["(" + ", ".join(sql_text.literal(value) for value in row) + ")" for row in rows]
     if not tuples:
         return spark.createDataFrame([], ", ".join(f"{name} {kind}" for name, kind in columns.items()))
     return spark.sql(f"SELECT * FROM VALUES {', '.join(tuples)} AS t({', '.join(columns)})")
