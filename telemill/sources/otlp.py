@@ -1,9 +1,12 @@
 """OTLP/JSON export requests, one per row, flattened to log events and metric points.
 
 A request counts whole or not at all: one wrong type or one missing field
-anywhere sends the payload to the quarantine frame. The document is parsed
-once, with leaves whose JSON type matters kept as VARIANT, since a plain
-string column would read ``5`` and ``"5"`` alike and a missing field like null.
+anywhere sends the payload to the quarantine frame.
+
+The document is read with plain columns, which is fast but takes ``5`` for
+``"5"`` where text must stand, and null for an absent list. Payloads whose text
+may hold one of these (next to none) are read a second time with VARIANT
+leaves, which keep the JSON type, to decide whether they are valid.
 """
 
 from __future__ import annotations
@@ -25,23 +28,48 @@ from telemill.functions.names import metric_base_name
 from telemill.functions.numbers import plain_double, saturating_bigint, unsigned_as_bigint
 from telemill.session import prepare_session
 
-_RECORD = "struct<timeUnixNano:variant,body:struct<stringValue:variant>,attributes:variant>"
-_LOGS = f"struct<resourceLogs:array<struct<scopeLogs:array<struct<logRecords:array<{_RECORD}>>>>>>"
-_POINTS = "struct<dataPoints:array<struct<asInt:variant,asDouble:variant,attributes:variant>>>"
-_METRIC = f"struct<name:variant,sum:{_POINTS},gauge:{_POINTS}>"
-_METRICS = (
-    f"struct<resourceMetrics:array<struct<scopeMetrics:array<struct<metrics:array<{_METRIC}>>>>>>"
+_LOG_LISTS = ("resourceLogs", "scopeLogs", "logRecords")
+_METRIC_LISTS = ("resourceMetrics", "scopeMetrics", "metrics")
+
+
+def _document(lists: tuple[str, str, str], entry: str) -> str:
+    """Type of a request with entries three lists deep."""
+    outer, inner, leaf = lists
+    return f"struct<{outer}:array<struct<{inner}:array<struct<{leaf}:array<{entry}>>>>>>"
+
+
+# Whole numbers come as JSON numbers or as text, so they are read as text.
+_VALUE = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>"
+_ATTRIBUTES = f"array<struct<key:string,value:{_VALUE}>>"
+_RECORD = f"struct<timeUnixNano:string,body:struct<stringValue:string>,attributes:{_ATTRIBUTES}>"
+_POINTS = f"struct<dataPoints:array<struct<asInt:string,asDouble:double,attributes:{_ATTRIBUTES}>>>"
+_LOGS = _document(_LOG_LISTS, _RECORD)
+_METRICS = _document(_METRIC_LISTS, f"struct<name:string,sum:{_POINTS},gauge:{_POINTS}>")
+
+# The same with VARIANT where text or a list must stand.
+_TYPED_LIST = "array<struct<key:variant,value:struct<stringValue:variant>>>"
+_TYPED_POINTS = "struct<dataPoints:array<struct<attributes:variant>>>"
+_TYPED_LOGS = _document(
+    _LOG_LISTS, "struct<body:struct<stringValue:variant>,attributes:variant>"
 )
-_ATTRIBUTES = (
-    "array<struct<key:variant,value:struct<stringValue:variant,intValue:variant,"
-    "doubleValue:variant,boolValue:variant>>>"
+_TYPED_METRICS = _document(
+    _METRIC_LISTS, f"struct<name:variant,sum:{_TYPED_POINTS},gauge:{_TYPED_POINTS}>"
 )
 
-# JSON as the standard has it; Spark would read some more.
-_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+# Text that must be JSON text but may be something else, or a list given as null.
+_SUSPECT = r"""\"(?:key|name|stringValue)\"\s*:\s*[^\"\sn]|\"attributes\"\s*:\s*null"""
+
 _CORRUPT = "_corrupt"
 
 
+def _from_json(wrapped: str, document: str) -> str:
+    # JSON as the standard has it; Spark would read some more.
+    options = f"""map('allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'false',
+      'columnNameOfCorruptRecord', '{_CORRUPT}')"""
+    schema = f"struct<requests:array<{document}>,{_CORRUPT}:string>"
+    return f"from_json({wrapped}, '{schema}', {options})"
+
+
 def _parse(payloads: DataFrame, payload: str, document: str) -> DataFrame:
     """Add the parsed document as ``doc`` and whether the payload is one document as ``parsed``.
 
@@ -49,165 +77,136 @@ def _parse(payloads: DataFrame, payload: str, document: str) -> DataFrame:
     document, which the parser would otherwise skip, then breaks the array. An
     empty payload is an empty request.
     """
+    column = sql_text.name(payload)
     wrapped = F.concat(F.lit('{"requests":['), F.col(payload), F.lit("]}"))
-    schema = f"requests array<{document}>, {_CORRUPT} string"
-    options = {**_STRICT, "columnNameOfCorruptRecord": _CORRUPT}
     return (
-        payloads.withColumn("_json", F.from_json(wrapped, schema, options))
-        .withColumn("doc", F.get("_json.requests", F.lit(0)))
-        .withColumn("empty", F.col(payload) == "")
-        .withColumn(
-            "parsed",
-            F.expr(f"_json.{_CORRUPT} IS NULL AND size(_json.requests) = 1 AND doc IS NOT NULL"),
+        payloads.withColumn("_wrapped", wrapped)
+        .withColumn("_json", F.expr(_from_json("_wrapped", document)))
+        .withColumns(
+            {
+                "doc": F.expr("get(_json.requests, 0)"),
+                "parsed": F.expr(f"_json.{_CORRUPT} IS NULL AND size(_json.requests) = 1"),
+                "empty": F.expr(f"{column} = ''"),
+                "suspect": F.col(payload).rlike(_SUSPECT),
+            }
         )
         .drop("_json")
     )
 
 
-def _is(leaf: str, *kinds: str) -> str:
-    """Whether a variant leaf is absent, null or of one of the JSON kinds."""
-    allowed = ", ".join(sql_text.literal(kind) for kind in (*kinds, "VOID"))
-    return f"coalesce(schema_of_variant({leaf}) IN ({allowed}), true)"
+def _right_types(document: str, right: str) -> str:
+    """Whether a suspect payload has the right JSON types after all."""
+    return f"(NOT suspect OR exists({_from_json('_wrapped', document)}.requests, doc -> {right}))"
 
 
 def _is_text(leaf: str) -> str:
     return f"coalesce(schema_of_variant({leaf}) = 'STRING', false)"
 
 
-def _is_number(leaf: str) -> str:
-    kind = f"schema_of_variant({leaf})"
-    return f"coalesce({kind} IN ('BIGINT', 'DOUBLE', 'VOID') OR {kind} LIKE 'DECIMAL%', true)"
+def _absent_or_text(leaf: str) -> str:
+    return f"coalesce(schema_of_variant({leaf}) IN ('STRING', 'VOID'), true)"
 
 
-def _text(leaf: str) -> str:
-    """Text of a leaf, NULL for JSON null."""
-    return f"CAST({leaf} AS STRING)"
+def _text_attributes(bag: str) -> str:
+    """Whether a VARIANT is absent or a list of attributes with text where it must be."""
+    return f"""({bag} IS NULL OR coalesce(
+      forall(try_variant_get({bag}, '$', '{_TYPED_LIST}'), a ->
+        {_is_text('a.key')} AND {_absent_or_text('a.value.stringValue')}), false))"""
 
 
-def _signed(leaf: str) -> str:
-    """Value of a whole number given as number or text, NULL if it is not one."""
-    return f"CASE WHEN {_text(leaf)} RLIKE '^[+-]?[0-9]+$' THEN try_cast({_text(leaf)} AS BIGINT) END"
+def _signed(text: str) -> str:
+    """Value of a whole number, NULL if the text is not one."""
+    return f"if({text} RLIKE '^[+-]?[0-9]+$', try_cast({text} AS BIGINT), NULL)"
 
 
-def _is_signed(leaf: str) -> str:
-    return f"{_is(leaf, 'BIGINT', 'STRING')} AND ({_text(leaf)} IS NULL OR {_signed(leaf)} IS NOT NULL)"
+def _unsigned_wrapped(text: str) -> str:
+    """Value of an unsigned 64-bit number; from 2^63 up it wraps to negative."""
+    large = f"try_cast({text} AS DECIMAL(38, 0))"
+    return f"""if({text} RLIKE '^[+]?[0-9]+$', coalesce(try_cast({text} AS BIGINT),
+      if({large} < 18446744073709551616BD,
+        CAST({large} - 18446744073709551616BD AS BIGINT), NULL)), NULL)"""
 
 
-def _read_attributes(bag: str) -> str:
-    """Key, text and JSON kind of each attribute, and whether its types are right.
+def _absent_or_signed(text: str) -> str:
+    return f"({text} IS NULL OR {_signed(text)} IS NOT NULL)"
 
-    NULL when the bag is not a list of key-value pairs; empty when it is absent.
-    """
-    value = "a.value"
-    right = " AND ".join(
-        [
-            _is_text("a.key"),
-            f"{value} IS NOT NULL",
-            _is(f"{value}.stringValue", "STRING"),
-            _is_signed(f"{value}.intValue"),
-            _is_number(f"{value}.doubleValue"),
-            _is(f"{value}.boolValue", "BOOLEAN"),
-        ]
-    )
-    whole = f"CAST({_signed(f'{value}.intValue')} AS STRING)"
-    real = f"CAST(try_cast({value}.doubleValue AS DOUBLE) AS STRING)"
-    return f"""CASE WHEN {bag} IS NULL THEN array() ELSE
-      transform(try_variant_get({bag}, '$', '{_ATTRIBUTES}'), a -> named_struct(
-        'key', {_text('a.key')},
-        'given', {_text(f'{value}.stringValue')},
-        'whole', {whole},
-        'real', {real},
-        'flag', {_text(f'{value}.boolValue')},
-        'right', {right})) END"""
+
+def _complete_attributes(bag: str) -> str:
+    """Whether an attribute list is absent or has a key and a readable value everywhere."""
+    return f"""({bag} IS NULL OR forall({bag}, a ->
+      a.key IS NOT NULL AND a.value IS NOT NULL AND {_absent_or_signed('a.value.intValue')}))"""
 
 
 def _first_text(attributes: str, key: str) -> str:
     """Text of the first attribute with a key; NULL if that one is not text."""
-    return f"get(filter({attributes}, a -> a.key = {sql_text.literal(key)}), 0).given"
+    wanted = sql_text.literal(key)
+    return f"get(filter({attributes}, a -> a.key = {wanted}), 0).value.stringValue"
 
 
 def _attribute_map(attributes: str) -> str:
-    """Attributes with a usable value as a map; the last of a repeated key wins."""
-    text = f"coalesce(a.given, a.whole, {plain_double('a.real')}, a.flag)"
-    pairs = f"transform({attributes}, a -> struct(a.key AS key, {text} AS value))"
+    """Attributes with a usable value as a map of texts; the last of a repeated key wins."""
+    number = plain_double("CAST(a.value.doubleValue AS STRING)")
+    text = f"""coalesce(a.value.stringValue,
+      CAST({_signed('a.value.intValue')} AS STRING),
+      if(a.value.doubleValue IS NULL, NULL, {number}),
+      CAST(a.value.boolValue AS STRING))"""
+    pairs = f"transform(coalesce({attributes}, array()), a -> struct(a.key AS key, {text} AS value))"
     return f"map_from_entries(filter({pairs}, e -> e.value IS NOT NULL))"
 
 
-def _unnest(document: str, outer: str, inner: str, leaf: str) -> str:
-    """All ``leaf`` entries of a request, through its resources and scopes."""
-    return f"flatten(flatten(transform({document}.{outer}, r -> transform(r.{inner}, s -> s.{leaf}))))"
-
+def _unnest(lists: tuple[str, str, str]) -> str:
+    """All entries of a request, through its resources and scopes."""
+    outer, inner, leaf = lists
+    return f"flatten(flatten(transform(doc.{outer}, r -> transform(r.{inner}, s -> s.{leaf}))))"
 
-def _well_formed(document: str, outer: str, inner: str, leaf: str) -> str:
-    """Whether the lists down to ``leaf`` are all there."""
-    return f"""{document}.{outer} IS NOT NULL AND forall({document}.{outer}, r ->
-      r IS NOT NULL AND r.{inner} IS NOT NULL AND forall(r.{inner}, s ->
-        s IS NOT NULL AND s.{leaf} IS NOT NULL AND forall(s.{leaf}, l -> l IS NOT NULL)))"""
 
+def _everywhere(lists: tuple[str, str, str], condition: str) -> str:
+    """Whether the lists are all there and every entry ``x`` fulfils the condition."""
+    outer, inner, leaf = lists
+    return f"""coalesce(forall(doc.{outer}, r -> coalesce(forall(r.{inner}, s ->
+      coalesce(forall(s.{leaf}, x -> x IS NOT NULL AND {condition}), false)), false)), false)"""
 
-_ATTRIBUTES_RIGHT = "x.attributes IS NOT NULL AND forall(x.attributes, a -> coalesce(a.right, false))"
 
-# Nanoseconds as an unsigned number; from 2^63 up they wrap to before 1970.
-_NANOS_TEXT = _text("l.timeUnixNano")
-_NANOS = f"""CASE WHEN {_NANOS_TEXT} RLIKE '^[+]?[0-9]+$' THEN coalesce(
-    try_cast({_NANOS_TEXT} AS BIGINT),
-    CASE WHEN try_cast({_NANOS_TEXT} AS DECIMAL(38, 0)) < 18446744073709551616BD
-      THEN CAST(try_cast({_NANOS_TEXT} AS DECIMAL(38, 0)) - 18446744073709551616BD AS BIGINT)
-    END) END"""
+def _with_validity(parsed: DataFrame, complete: str, right_types: str) -> DataFrame:
+    valid = f"empty OR (parsed AND {complete} AND {right_types})"
+    return parsed.withColumn("valid", F.coalesce(F.expr(valid), F.lit(False)))
 
 
 def _log_requests(payloads: DataFrame, payload: str) -> DataFrame:
     """Add the log records of each payload and whether it is valid."""
-    leaf = ("resourceLogs", "scopeLogs", "logRecords")
-    times_right = f"""(l.timeUnixNano IS NULL OR is_variant_null(l.timeUnixNano) OR
-      ({_is('l.timeUnixNano', 'BIGINT', 'STRING', 'DECIMAL(19,0)', 'DECIMAL(20,0)')}
-        AND {_NANOS} IS NOT NULL))"""
-    records = f"""transform({_unnest('doc', *leaf)}, l -> named_struct(
-      'nanos', {_NANOS},
-      'body', {_text('l.body.stringValue')},
-      'attributes', {_read_attributes('l.attributes')},
-      'right', {times_right} AND {_is('l.body.stringValue', 'STRING')}))"""
-    valid = f"""empty OR (parsed AND {_well_formed('doc', *leaf)}
-      AND forall(records, x -> x.right AND {_ATTRIBUTES_RIGHT}))"""
-    return (
-        _parse(payloads, payload, _LOGS)
-        .withColumn("records", F.expr(records))
-        .withColumn("valid", F.coalesce(F.expr(valid), F.lit(False)))
-        .drop("doc", "parsed", "empty")
+    complete = f"""(x.timeUnixNano IS NULL OR {_unsigned_wrapped('x.timeUnixNano')} IS NOT NULL)
+      AND {_complete_attributes('x.attributes')}"""
+    text = f"{_absent_or_text('x.body.stringValue')} AND {_text_attributes('x.attributes')}"
+    return _with_validity(
+        _parse(payloads, payload, _LOGS).withColumn("records", F.expr(_unnest(_LOG_LISTS))),
+        _everywhere(_LOG_LISTS, complete),
+        _right_types(_TYPED_LOGS, _everywhere(_LOG_LISTS, text)),
     )
 
 
 def _metric_requests(payloads: DataFrame, payload: str) -> DataFrame:
-    """Add the data points of each payload and whether it is valid."""
-    leaf = ("resourceMetrics", "scopeMetrics", "metrics")
-
-    def points(source: str) -> str:
-        return f"""transform({source}.dataPoints, p -> named_struct(
-          'name', {_text('m.name')},
-          'as_int', {_signed('p.asInt')},
-          'as_double', try_cast(p.asDouble AS DOUBLE),
-          'attributes', {_read_attributes('p.attributes')},
-          'right', p IS NOT NULL AND {_is_signed('p.asInt')} AND {_is_number('p.asDouble')}))"""
-
-    metrics = f"""transform({_unnest('doc', *leaf)}, m -> named_struct(
-      'right', {_is_text('m.name')}
-        AND (m.sum IS NULL OR m.sum.dataPoints IS NOT NULL)
-        AND (m.gauge IS NULL OR m.gauge.dataPoints IS NOT NULL),
-      'has_sum', m.sum IS NOT NULL,
-      'sum', {points('m.sum')},
-      'gauge', {points('m.gauge')}))"""
-    points_right = f"forall({{}}, x -> x.right AND {_ATTRIBUTES_RIGHT})"
-    valid = f"""empty OR (parsed AND {_well_formed('doc', *leaf)} AND forall(metrics, m ->
-      m.right AND coalesce({points_right.format('m.sum')}, true)
-        AND coalesce({points_right.format('m.gauge')}, true)))"""
+    """Add the data points of each payload, with their metric's name, and whether it is valid."""
+
+    def in_points(source: str, condition: str) -> str:
+        return f"""(x.{source} IS NULL OR coalesce(forall(x.{source}.dataPoints, p ->
+          {condition}), false))"""
+
+    def in_both(condition: str) -> str:
+        return f"{in_points('sum', condition)} AND {in_points('gauge', condition)}"
+
+    point = f"""p IS NOT NULL AND {_absent_or_signed('p.asInt')}
+      AND {_complete_attributes('p.attributes')}"""
+    complete = f"x.name IS NOT NULL AND {in_both(point)}"
+    text = f"{_is_text('x.name')} AND {in_both(_text_attributes('p.attributes'))}"
     # A sum is taken even if it is empty and a gauge stands beside it.
-    records = "flatten(transform(metrics, m -> coalesce(if(m.has_sum, m.sum, m.gauge), array())))"
-    return (
-        _parse(payloads, payload, _METRICS)
-        .withColumn("metrics", F.expr(metrics))
-        .withColumn("valid", F.coalesce(F.expr(valid), F.lit(False)))
-        .withColumn("records", F.expr(records))
-        .drop("doc", "parsed", "empty", "metrics")
+    points = f"""flatten(transform({_unnest(_METRIC_LISTS)}, m -> transform(
+      coalesce(if(m.sum IS NULL, m.gauge.dataPoints, m.sum.dataPoints), array()),
+      p -> struct(m.name AS name, p.asInt AS as_int, p.asDouble AS as_double,
+        p.attributes AS attributes))))"""
+    return _with_validity(
+        _parse(payloads, payload, _METRICS).withColumn("records", F.expr(points)),
+        _everywhere(_METRIC_LISTS, complete),
+        _right_types(_TYPED_METRICS, _everywhere(_METRIC_LISTS, text)),
     )
 
 
@@ -216,14 +215,17 @@ def _rows(requests: DataFrame, payload: str, ingest_ts: str) -> DataFrame:
 
     A row's id is a hash of payload and place: equal on every run, with no
     numbering across tasks. It only breaks ties between equal times.
+
+    From here on a row is valid if it has a record. A filter on that stays
+    above the unnesting; one on the validity expression would be pushed below
+    it and parse every payload a second time.
     """
     records = F.expr("CASE WHEN valid THEN records ELSE array(NULL) END")
     return requests.select(
         F.col(payload).alias("payload"),
         F.col(ingest_ts).alias("ingest_ts"),
-        "valid",
         F.posexplode(records).alias("place", "record"),
-    ).withColumn("id", F.xxhash64("payload", "place"))
+    ).withColumns({"id": F.xxhash64("payload", "place"), "valid": F.col("record").isNotNull()})
 
 
 def log_rows(
@@ -232,12 +234,14 @@ def log_rows(
     """Log events and bad payloads in one frame, told apart by ``valid``."""
     prepare_session(payloads.sparkSession)
     rows = _rows(_log_requests(payloads, payload), payload, ingest_ts)
-    micros = "record.nanos DIV 1000 - IF(record.nanos % 1000 < 0, 1, 0)"
+    rows = rows.withColumn("nanos", F.expr(_unsigned_wrapped("record.timeUnixNano")))
+    # Whole microseconds downwards, also before 1970.
+    moment = F.expr("timestamp_micros(nanos DIV 1000 - if(nanos % 1000 < 0, 1, 0))")
     return rows.select(
         "id",
-        F.coalesce(F.expr(f"timestamp_micros({micros})"), F.col("ingest_ts")).alias("timestamp"),
+        F.coalesce(moment, F.col("ingest_ts")).alias("timestamp"),
         F.expr(_first_text("record.attributes", EVENT_NAME_KEY)).alias("event_name"),
-        F.col("record.body").alias("body"),
+        F.col("record.body.stringValue").alias("body"),
         F.expr(_attribute_map("record.attributes")).alias("attributes"),
         "valid",
         F.when(~F.col("valid"), F.col("payload")).alias("payload"),
@@ -254,7 +258,7 @@ def metric_rows(
         "id",
         F.col("ingest_ts").alias("timestamp"),
         "record.name",
-        "record.as_int",
+        F.expr(_signed("record.as_int")).alias("as_int"),
         "record.as_double",
         F.expr(_first_text("record.attributes", TOKEN_TYPE_KEY)).alias("type"),
         "valid",
