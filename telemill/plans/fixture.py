@@ -60,6 +60,13 @@ def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_k(events)
 
 
+def base_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events as a stream of the files they lie in."""
+    # The pattern lets a file stand where a stream otherwise wants a folder.
+    events = prepare_session(spark).readStream.schema(_EVENTS).parquet(f"{sf_dir}/events.parquet*")
+    return with_k(events)
+
+
 def with_k(events: DataFrame) -> DataFrame:
     return events.selectExpr(
         "event_id as id",
@@ -202,6 +209,22 @@ def metric_payloads(base: DataFrame) -> DataFrame:
     return _requests(rows, "metric", "resourceMetrics", "scopeMetrics", "metrics")
 
 
+# What makes a request unreadable, by request number; others stay as they are.
+_DAMAGE = """case request % 8
+  when 1 then left(payload, length(payload) - 5)
+  when 2 then replace(payload, '"key":"row_id"', '"key":7')
+  when 3 then replace(payload, '"key":"row_id",', '')
+  when 4 then concat(payload, ' {}')
+  when 5 then replace(payload, 'resourceLogs', 'resourceSpans')
+  when 6 then replace(payload, '"body":{"stringValue":"', '"body":{"stringValue":null,"bytesValue":"')
+  else payload end"""
+
+
+def damaged_log_payloads(base: DataFrame) -> DataFrame:
+    """The log requests, most of them damaged in some way."""
+    return log_payloads(base).selectExpr("request", "ingest_ts", f"{_DAMAGE} as payload")
+
+
 _POINT_ATTRIBUTES = "array<struct<key:string,value:struct<stringValue:string>>>"
 _POINT_LIST = (
     f"struct<dataPoints:array<struct<asInt:variant,asDouble:double,attributes:{_POINT_ATTRIBUTES}>>>"

@@ -223,17 +223,40 @@ _DETECTED = """, sightings as (
       select agent, min(timestamp) as first_seen from sightings group by agent
     )"""
 
-_LOG_ROWS = """select id, timestamp, event_name, tool_name, success, duration_ms, decision,
-      error, model, latency_ms from log_flat"""
+_LOG_ROWS = f"""{TABLES}
+    select id, timestamp, event_name, 'event ' || cast(id as varchar) as body, tool_name, success,
+      duration_ms, decision, error, model, latency_ms
+    from log_flat"""
 
-_ROUTED_ROWS = """
+
+def _routed_rows(session_names: str | None) -> str:
+    where = f"where metric_name in ({session_names})" if session_names else ""
+    return f"""{TABLES}
     select 'token_usage' as kind, token_type as label, cast(count as double) as amount
     from token_usage
     union all
-    select 'cost_usage', null, cost_usd from cost_usage
+    select 'cost_usage', null, round(cost_usd, 4) from cost_usage
     union all
-    select 'session_metrics', metric_name, cast(value as double) from session_metrics
-    """
+    select 'session_metrics', metric_name, cast(value as double) from session_metrics {where}"""
+
+
+# Names the JSON form of the metrics knows; any other is dropped there.
+_JSON_SESSION_NAMES = "'lines_of_code', 'commit', 'pull_request', 'active_time'"
+
+
+def _windows(size_minutes: int, offsets: list[int]) -> str:
+    starts = " union all ".join(
+        f"""select time_bucket(interval '{size_minutes} minutes', timestamp - interval '{m} minutes')
+          + interval '{m} minutes' as window_start, tool_name, success, duration_ms
+        from logged_calls"""
+        for m in offsets
+    )
+    return f"""{TABLES}, placed as ({starts})
+      select window_start, window_start + interval '{size_minutes} minutes' as window_end, tool_name,
+        count(*) as calls, cast(sum(case when success then 0 else 1 end) as bigint) as errors,
+        round(avg(duration_ms), 4) as avg_duration_ms
+      from placed group by window_start, tool_name"""
+
 
 ORACLE: dict[str, str] = {
     "tool_metrics": _report("logged_calls"),
@@ -371,4 +394,32 @@ ORACLE: dict[str, str] = {
           when event_name like 'qwen-code%' then 'qwen_code' end as agent,
         count(*) as events
       from log_flat group by 1""",
+    "ingest_logs_roundtrip": _LOG_ROWS,
+    "ingest_metrics_roundtrip": _routed_rows(_JSON_SESSION_NAMES),
+    "ingest_metrics_proto_profile": _routed_rows(None),
+    "quarantine_counts": f"""{TABLES}, requests_made as (
+        select id // 50 as request, count(*) as records from log_flat group by 1
+      ), judged as (
+        select request % 8 in (0, 6, 7) as valid, request % 8 <> 6 as has_body, records
+        from requests_made
+      )
+      select valid, cast(sum(case when valid then records else 0 end) as bigint) as records,
+        cast(sum(case when valid then 0 else 1 end) as bigint) as bad_payloads,
+        cast(sum(case when valid and has_body then records else 0 end) as bigint) as bodies
+      from judged group by valid""",
+    "store_roundtrip": _report("calls", LAST_WEEK),
+    "retention_prune": f"""{TABLES}
+      select cast(timestamp as date) as event_date,
+        case when event_name like '%tool_result' then 'tool_result'
+          when event_name like '%api_request' then 'api_request'
+          when event_name like '%api_error' then 'api_error' end as event_family,
+        count(*) as events
+      from log_flat where timestamp >= timestamp '{LAST_WEEK}' group by 1, 2""",
+    "stream_ingest_logs": _LOG_ROWS,
+    "stream_ingest_metrics": _routed_rows(_JSON_SESSION_NAMES),
+    "stream_tool_metrics": _report("logged_calls"),
+    "stream_hourly_windows": _windows(60, [0]),
+    "stream_sliding_windows": _windows(60, [0, 30]),
+    "stream_agents": f"""{TABLES} {_DETECTED.format(calls='logged_calls')}
+      select agent, first_seen from first_seen""",
 }

@@ -11,6 +11,9 @@ from telemill.functions.names import with_model_names
 from telemill.functions.time_ranges import since_for
 from telemill.operators import agents, api, events, ordering, tools, usage
 from telemill.plans import fixture
+from telemill.session import new_folder
+from telemill.sources import otlp, tables
+from telemill.streaming import ingest, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -131,9 +134,143 @@ BATCH: dict[str, Callable[[Telemetry], DataFrame]] = {
 }
 
 
+def _flat_log_rows(logs: DataFrame) -> DataFrame:
+    """Log events as flat rows, by the id that travelled with the payload."""
+    keys = [name for name in fixture.LOG_COLUMNS if name != "event_name"]
+    return logs.select(
+        F.col("attributes")["row_id"].cast("bigint").alias("id"),
+        "timestamp",
+        "event_name",
+        "body",
+        *[F.col("attributes")[key].alias(key) for key in keys],
+    )
+
+
+def _routed_rows(tokens: DataFrame, costs: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The rows of the three metric tables in one shape."""
+    parts = (
+        tokens.selectExpr("'token_usage' as kind", "token_type as label", "count as amount"),
+        costs.selectExpr("'cost_usage' as kind", "cast(null as string) as label", "cost_usd as amount"),
+        sessions.selectExpr("'session_metrics' as kind", "metric_name as label", "value as amount"),
+    )
+    first, *rest = (part.withColumn("amount", F.col("amount").cast("double")) for part in parts)
+    for part in rest:
+        first = first.unionByName(part)
+    return first
+
+
+def _ingested_metrics(profile: str) -> Callable[[Telemetry], DataFrame]:
+    def query(t: Telemetry) -> DataFrame:
+        points, _ = otlp.parse_metrics(fixture.metric_payloads(t.base))
+        return _routed_rows(*otlp.route_metrics(points, profile))
+
+    return query
+
+
+def _payload_check(t: Telemetry) -> DataFrame:
+    """Requests and records per outcome."""
+    rows = otlp.log_rows(fixture.damaged_log_payloads(t.base))
+    return rows.groupBy("valid").agg(
+        F.count_if(F.col("valid")).alias("records"),
+        F.count_if(~F.col("valid")).alias("bad_payloads"),
+        F.count("body").alias("bodies"),
+    )
+
+
+INGEST: dict[str, Callable[[Telemetry], DataFrame]] = {
+    "ingest_logs_roundtrip": lambda t: _flat_log_rows(
+        otlp.parse_logs(fixture.log_payloads(t.base))[0]
+    ),
+    "ingest_metrics_roundtrip": _ingested_metrics("json"),
+    "ingest_metrics_proto_profile": _ingested_metrics("proto"),
+    "quarantine_counts": _payload_check,
+}
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[Telemetry, str]:
+    """The derived tables written to a new table set."""
+    t = Telemetry(spark, sf_dir)
+    root = new_folder(spark, "tables")
+    for name in ("log_events", "tool_events"):
+        tables.append(getattr(t, name), root, name, "load-1")
+    return t, root
+
+
+def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tool report of the last week over tables on disk."""
+    _, root = _stored(spark, sf_dir)
+    since = _since("last_week")
+    calls = events.unified_tool_events(
+        tables.read(spark, root, "tool_events"), tables.read(spark, root, "log_events"), since
+    )
+    return shown(tools.tool_metrics(calls))
+
+
+def retention_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per day and family that the retention keeps."""
+    _, root = _stored(spark, sf_dir)
+    tables.prune(spark, root, fixture.AS_OF)
+    kept = tables.retained(tables.read(spark, root, "log_events"), fixture.AS_OF)
+    return kept.groupBy("event_date", "event_family").agg(F.count("*").alias("events"))
+
+
+def stream_ingest_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log requests from text files through the streaming ingest and back from disk."""
+    folder = new_folder(spark, "ingest-logs")
+    fixture.log_payloads(fixture.base_events(spark, sf_dir)).select("payload").write.text(
+        f"{folder}/in"
+    )
+    ingest.start_ingest(
+        ingest.payload_stream(spark, f"{folder}/in"),
+        f"{folder}/tables",
+        f"{folder}/checkpoint",
+        "logs",
+        availableNow=True,
+    ).awaitTermination()
+    return shown(_flat_log_rows(tables.read(spark, f"{folder}/tables", "log_events")))
+
+
+def stream_ingest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric requests from text files through the streaming ingest and back from disk."""
+    folder = new_folder(spark, "ingest-metrics")
+    fixture.metric_payloads(fixture.base_events(spark, sf_dir)).select("payload").write.text(
+        f"{folder}/in"
+    )
+    ingest.start_ingest(
+        ingest.payload_stream(spark, f"{folder}/in"),
+        f"{folder}/tables",
+        f"{folder}/checkpoint",
+        "metrics",
+        availableNow=True,
+    ).awaitTermination()
+    names = ("token_usage", "cost_usage", "session_metrics")
+    return shown(_routed_rows(*[tables.read(spark, f"{folder}/tables", n) for n in names]))
+
+
+def _live(report: Callable[[DataFrame], DataFrame]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        logs = fixture.log_events(fixture.base_stream(spark, sf_dir))
+        return shown(live.report_now(report(logs), new_folder(spark, "live")))
+
+    return query
+
+
+ON_DISK: dict[str, Query] = {
+    "store_roundtrip": store_roundtrip,
+    "retention_prune": retention_prune,
+    "stream_ingest_logs": stream_ingest_logs,
+    "stream_ingest_metrics": stream_ingest_metrics,
+    "stream_tool_metrics": _live(live.stream_tool_metrics),
+    "stream_hourly_windows": _live(live.stream_windows),
+    "stream_sliding_windows": _live(lambda logs: live.stream_windows(logs, "1 hour", "30 minutes")),
+    "stream_agents": _live(live.stream_agents),
+}
+
+
 def _over_tables(build: Callable[[Telemetry], DataFrame]) -> Query:
     return lambda spark, sf_dir: shown(build(Telemetry(spark, sf_dir)))
 
 
 def all_queries() -> dict[str, Query]:
-    return {name: _over_tables(build) for name, build in BATCH.items()}
+    over_tables = {name: _over_tables(build) for name, build in {**BATCH, **INGEST}.items()}
+    return {**over_tables, **ON_DISK}

@@ -310,12 +310,14 @@ def routed_points(points: DataFrame, profile: str = "json") -> DataFrame:
         .when(name == COST_METRIC, "cost_usage")
         .when(is_session, "session_metrics")
     )
+    if "valid" in points.columns:  # bad payloads travel along to their own table
+        table = F.when(F.col("valid"), table).otherwise("bad_metric_payloads")
     none = F.lit(0).cast("bigint")
     return (
         points.withColumn("table", table)
         .filter(F.col("table").isNotNull())
         .select(
-            *[c for c in ("id", "timestamp", "valid", "payload") if c in points.columns],
+            *[c for c in ("id", "timestamp", "payload") if c in points.columns],
             "table",
             F.coalesce("type", F.lit(UNKNOWN)).alias("token_type"),
             F.coalesce(count, none).alias("count"),
