@@ -12,6 +12,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from telemill.fixed_values import (
     APPROVING_DECISIONS,
@@ -25,9 +26,16 @@ from telemill.functions.numbers import real_number, whole_number
 
 
 def attribute(logs: DataFrame, key: str) -> Column:
-    """Text of one attribute, NULL when the event does not have it."""
+    """Text of one attribute, NULL when the event does not have it.
+
+    The attributes are a map or, in tables kept elsewhere, JSON text.
+    """
     promoted = f"attr_{key}"
-    return F.col(promoted) if promoted in logs.columns else F.col("attributes").getItem(key)
+    if promoted in logs.columns:
+        return F.col(promoted)
+    if isinstance(logs.schema["attributes"].dataType, T.StringType):
+        return F.get_json_object("attributes", f"$.{key}")
+    return F.col("attributes").getItem(key)
 
 
 def event_family(column: str = "event_name") -> Column:

@@ -22,13 +22,14 @@ _EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, val
 # Event name and attributes of an event.
 LOG_COLUMNS = {
     "event_name": """
-        case when k = 99 then 'session_start'
-             when k = 98 then 'tool_result_modified'
-             when event_type = 'click' then 'tool_result'
-             when event_type = 'view' then 'claude_code.tool_result'
-             when event_type = 'signup' then 'api_request'
-             when event_type = 'purchase' then 'claude_code.api_request'
-             else 'gemini_cli.api_error' end""",
+        case when k < 98 then
+          case event_type when 'click' then 'tool_result'
+             when 'view' then 'claude_code.tool_result'
+             when 'signup' then 'api_request'
+             when 'purchase' then 'claude_code.api_request'
+             else 'gemini_cli.api_error' end
+          when k = 98 then 'tool_result_modified'
+          else 'session_start' end""",
     "tool_name": """
         case user_id % 12
              when 0 then 'Read' when 1 then 'Write' when 2 then 'Edit' when 3 then 'Bash'

@@ -214,27 +214,55 @@ def _rows(requests: DataFrame, payload: str, ingest_ts: str) -> DataFrame:
     """One row per record of valid payloads and one row, without record, per bad payload.
 
     A row's id is a hash of payload and place: equal on every run, with no
-    numbering across tasks. It only breaks ties between equal times.
+    numbering across tasks. It only breaks ties between equal times. The text
+    is hashed before the unnesting, and goes through it for bad payloads only,
+    or each record would carry a copy of its whole request.
 
-    From here on a row is valid if it has a record. A filter on that stays
-    above the unnesting; one on the validity expression would be pushed below
-    it and parse every payload a second time.
+    No filter may sink below the unnesting, where it would parse every payload
+    once more: rows are told apart by having a record, not by ``valid``, and
+    the unnested list is an expression, since Spark infers a filter on a column.
     """
+    payload_column = F.col(payload)
     records = F.expr("CASE WHEN valid THEN records ELSE array(NULL) END")
-    return requests.select(
-        F.col(payload).alias("payload"),
-        F.col(ingest_ts).alias("ingest_ts"),
-        F.posexplode(records).alias("place", "record"),
-    ).withColumns({"id": F.xxhash64("payload", "place"), "valid": F.col("record").isNotNull()})
+    return (
+        requests.select(
+            F.xxhash64(payload_column).alias("request_key"),
+            F.when(~F.col("valid"), payload_column).alias("payload"),
+            F.col(ingest_ts).alias("ingest_ts"),
+            "valid",
+            "records",
+        )
+        .select("request_key", "payload", "ingest_ts", F.posexplode(records).alias("place", "record"))
+        .withColumns(
+            {"id": F.xxhash64("request_key", "place"), "valid": F.col("record").isNotNull()}
+        )
+    )
+
+
+PROFILES = ("json", "proto")
+
+
+def _check_profile(profile: str) -> None:
+    if profile not in PROFILES:
+        raise ValueError(f"unknown profile {profile!r}")
 
 
 def log_rows(
-    payloads: DataFrame, payload: str = "payload", ingest_ts: str = "ingest_ts"
+    payloads: DataFrame,
+    payload: str = "payload",
+    ingest_ts: str = "ingest_ts",
+    profile: str = "json",
 ) -> DataFrame:
-    """Log events and bad payloads in one frame, told apart by ``valid``."""
+    """Log events and bad payloads in one frame, told apart by ``valid``.
+
+    A record without time gets its arrival time; in the ``proto`` profile, for
+    payloads that were protobuf once, a time of 0 means the same.
+    """
+    _check_profile(profile)
     prepare_session(payloads.sparkSession)
     rows = _rows(_log_requests(payloads, payload), payload, ingest_ts)
-    rows = rows.withColumn("nanos", F.expr(_unsigned_wrapped("record.timeUnixNano")))
+    nanos = _unsigned_wrapped("record.timeUnixNano")
+    rows = rows.withColumn("nanos", F.expr(f"nullif({nanos}, 0)" if profile == "proto" else nanos))
     # Whole microseconds downwards, also before 1970.
     moment = F.expr("timestamp_micros(nanos DIV 1000 - if(nanos % 1000 < 0, 1, 0))")
     return rows.select(
@@ -244,7 +272,7 @@ def log_rows(
         F.col("record.body.stringValue").alias("body"),
         F.expr(_attribute_map("record.attributes")).alias("attributes"),
         "valid",
-        F.when(~F.col("valid"), F.col("payload")).alias("payload"),
+        "payload",
     )
 
 
@@ -262,7 +290,7 @@ def metric_rows(
         "record.as_double",
         F.expr(_first_text("record.attributes", TOKEN_TYPE_KEY)).alias("type"),
         "valid",
-        F.when(~F.col("valid"), F.col("payload")).alias("payload"),
+        "payload",
     )
 
 
@@ -272,10 +300,13 @@ def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def parse_logs(
-    payloads: DataFrame, payload: str = "payload", ingest_ts: str = "ingest_ts"
+    payloads: DataFrame,
+    payload: str = "payload",
+    ingest_ts: str = "ingest_ts",
+    profile: str = "json",
 ) -> tuple[DataFrame, DataFrame]:
     """Log events, and the payloads that could not be read."""
-    return _split(log_rows(payloads, payload, ingest_ts))
+    return _split(log_rows(payloads, payload, ingest_ts, profile))
 
 
 def parse_metrics(
@@ -293,18 +324,17 @@ def routed_points(points: DataFrame, profile: str = "json") -> DataFrame:
     The ``proto`` profile takes either kind of number and any other metric
     with the agent's prefix.
     """
+    _check_profile(profile)
     name, as_int, as_double = F.col("name"), F.col("as_int"), F.col("as_double")
     if profile == "json":
         is_session = name.isin(*SESSION_METRICS)
         count = value = as_int
         cost = as_double
-    elif profile == "proto":
+    else:
         is_session = name.startswith(SESSION_METRIC_PREFIX) & ~name.isin(TOKEN_METRIC, COST_METRIC)
         count = F.coalesce(as_int, unsigned_as_bigint(as_double))
         value = F.coalesce(as_int, saturating_bigint(as_double))
         cost = F.coalesce(as_double, as_int.cast("double"))
-    else:
-        raise ValueError(f"unknown profile {profile!r}")
     table = (
         F.when(name == TOKEN_METRIC, "token_usage")
         .when(name == COST_METRIC, "cost_usage")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telemill.fixed_values import QUERY_ATTRIBUTES, RETENTION_DAYS
-from telemill.functions.attributes import event_family, since_filter
+from telemill.functions.attributes import attribute, event_family, since_filter
 from telemill.schema import TABLES
 from telemill.session import prepare_session
 from telemill.sources.otlp import log_rows, metric_rows, routed_points
@@ -25,9 +25,7 @@ _PARTITIONS = ("table", "event_date", "event_family", "load_id")
 
 def with_promoted_attributes(logs: DataFrame) -> DataFrame:
     """Add the attributes that reports read as columns of their own."""
-    return logs.withColumns(
-        {f"attr_{key}": F.col("attributes").getItem(key) for key in QUERY_ATTRIBUTES}
-    )
+    return logs.withColumns({f"attr_{key}": attribute(logs, key) for key in QUERY_ATTRIBUTES})
 
 
 def stored_schema(table: str) -> T.StructType:
@@ -65,10 +63,13 @@ def _write(rows: DataFrame, root: str, load_id: str) -> None:
 
 
 def append(rows: DataFrame, root: str, table: str, load_id: str) -> None:
-    """Append rows of one table under a load id."""
+    """Append rows of one table under a load id; log attributes may be JSON text."""
     prepare_session(rows.sparkSession)
     typed = rows.select(*TABLES[table].fieldNames())
     if table == "log_events":
+        if isinstance(typed.schema["attributes"].dataType, T.StringType):
+            as_map = F.from_json("attributes", TABLES[table]["attributes"].dataType)
+            typed = typed.withColumn("attributes", as_map)
         typed = with_promoted_attributes(typed).withColumn("event_family", event_family())
     else:
         typed = typed.withColumn("event_family", F.lit(None).cast("string"))

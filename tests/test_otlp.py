@@ -128,6 +128,17 @@ def test_record_time(spark, nanos, moment):
     assert utc(event.timestamp) == moment
 
 
+def test_time_zero_in_the_proto_profile(spark):
+    frame = payload_frame(spark, log_request({"timeUnixNano": "0"}, {"timeUnixNano": NANOS}))
+    events, _ = otlp.parse_logs(frame, profile="proto")
+    assert sorted(utc(e.timestamp) for e in events.collect()) == [
+        START,
+        datetime(2024, 1, 10, 12, 0, 0, 123456, timezone.utc),
+    ]
+    with pytest.raises(ValueError):
+        otlp.parse_logs(frame, profile="xml")
+
+
 def test_record_without_time_gets_arrival_time(spark):
     (event,), _ = parsed_logs(spark, log_request({}))
     assert utc(event.timestamp) == START

@@ -75,6 +75,16 @@ def test_map_and_promoted_columns_agree(spark, tmp_path):
     assert errors_map.exceptAll(errors_columns).count() == 0
 
 
+def test_attributes_as_json_text(spark, tmp_path):
+    rows = logs(spark, tool_result("a", "false", "7", error='say "no"'), ("tool_result", {}))
+    text = rows.withColumn("attributes", F.to_json("attributes"))
+    expected = tools.tool_metrics(events.logged_tool_calls(rows))
+    assert tools.tool_metrics(events.logged_tool_calls(text)).exceptAll(expected).count() == 0
+    tables.append(text, str(tmp_path), "log_events", "one")
+    stored = tables.read(spark, str(tmp_path), "log_events").filter("attr_tool_name = 'a'").first()
+    assert stored.attributes["error"] == stored.attr_error == 'say "no"'
+
+
 def test_prune_drops_whole_days(spark, tmp_path):
     root = str(tmp_path)
     days = [(*tool_result("t"), -86400 * back) for back in range(10)]
