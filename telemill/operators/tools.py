@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from telemill.fixed_values import ACTIVE_WITHIN_SECONDS, AGENTS, FREQUENCY_STEPS, Agent
 from telemill.functions import attributes as A
 from telemill.functions import names, rates
+from telemill.operators.events import last_errors
 from telemill.session import materialize
 from telemill.sources.agents import agent_dim, tool_dim
 
@@ -115,6 +116,18 @@ def with_rates(metrics: DataFrame) -> DataFrame:
     )
 
 
+def with_last_error(metrics: DataFrame, errors: DataFrame) -> DataFrame:
+    """Add the newest error text of each tool that has errors in the report.
+
+    The text may be older than the report's time range. Both sides are
+    aggregated by tool already, so the join needs no shuffle of its own.
+    """
+    newest = last_errors(errors).select("tool_name", F.col("error_msg").alias("last_error"))
+    return metrics.join(newest, "tool_name", "left").withColumn(
+        "last_error", F.when(F.col("error_count") > 0, F.col("last_error"))
+    )
+
+
 def with_age(metrics: DataFrame, as_of: datetime) -> DataFrame:
     """Add whole seconds since the last call, NULL if it lies ahead, and whether it is recent."""
     seconds = F.timestamp_diff("SECOND", F.col("last_call"), A.utc_literal(as_of))

@@ -310,6 +310,15 @@ ORACLE: dict[str, str] = {
           else approved_count / (approved_count + rejected_count) * 100 end, 4) as approval_rate,
         round(success_count / call_count * 100, 4) as success_rate
       from metrics""",
+    "tool_detail": f"""{TABLES}, metrics as ({_tool_metrics('calls', LAST_DAY)}), newest as (
+        select tool_name, error_msg, row_number() over (
+          partition by tool_name order by timestamp desc, id desc, error_msg desc) as place
+        from errors
+      )
+      select m.tool_name, m.call_count, m.error_count,
+        round(m.success_count / m.call_count * 100, 4) as success_rate,
+        case when m.error_count > 0 then n.error_msg end as last_error
+      from metrics m left join newest n on m.tool_name = n.tool_name and n.place = 1""",
     "tool_age": f"""{_METRICS}
       select tool_name, last_call,
         case when last_call <= timestamp '{AS_OF}'

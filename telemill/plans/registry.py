@@ -98,6 +98,9 @@ BATCH: dict[str, Callable[[Telemetry], DataFrame]] = {
     "tool_rates": lambda t: tools.with_rates(t.metrics()).select(
         "tool_name", "approved_count", "rejected_count", "approval_rate", "success_rate"
     ),
+    "tool_detail": lambda t: tools.with_last_error(
+        tools.with_rates(t.metrics("last_day")), t.errors()
+    ).select("tool_name", "call_count", "error_count", "success_rate", "last_error"),
     "tool_age": lambda t: tools.with_age(t.metrics(), fixture.AS_OF).select(
         "tool_name", "last_call", "age_seconds", "is_active"
     ),
@@ -166,7 +169,13 @@ def _routed_rows(tokens: DataFrame, costs: DataFrame, sessions: DataFrame) -> Da
 def _ingested_metrics(profile: str) -> Callable[[Telemetry], DataFrame]:
     def query(t: Telemetry) -> DataFrame:
         points, _ = otlp.parse_metrics(fixture.metric_payloads(t.base))
-        return _routed_rows(*otlp.route_metrics(points, profile))
+        return otlp.routed_points(points, profile).selectExpr(
+            "table as kind",
+            """case table when 'token_usage' then token_type
+                 when 'session_metrics' then metric_name end as label""",
+            """case table when 'token_usage' then cast(count as double)
+                 when 'session_metrics' then cast(value as double) else cost_usd end as amount""",
+        )
 
     return query
 

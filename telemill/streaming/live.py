@@ -87,5 +87,7 @@ def report_now(report: DataFrame, folder: str) -> DataFrame:
     query = start_report(report, f"{folder}/out", f"{folder}/checkpoint", availableNow=True)
     query.awaitTermination()
     spark = report.sparkSession
-    last = query.lastProgress["batchId"]
-    return spark.read.schema(report.schema).parquet(f"{folder}/out/batch={last}")
+    batches = [done["batchId"] for done in query.recentProgress if done["numInputRows"] > 0]
+    if not batches:
+        return spark.createDataFrame([], report.schema)
+    return spark.read.schema(report.schema).parquet(f"{folder}/out/batch={max(batches)}")
