@@ -129,7 +129,8 @@ def _tool_metrics(source: str = "calls", since: str | None = None) -> str:
         min(duration_ms) as min_duration_ms, max(duration_ms) as max_duration_ms,
         cast(sum(case when success then 1 else 0 end) as bigint) as success_count,
         cast(sum(case when not success then 1 else 0 end) as bigint) as error_count,
-        cast(sum(case when decision in ('approved', 'auto_approved') then 1 else 0 end) as bigint) as approved_count,
+        cast(sum(case when decision in ('approved', 'auto_approved') then 1 else 0 end)
+          as bigint) as approved_count,
         cast(sum(case when decision = 'rejected' then 1 else 0 end) as bigint) as rejected_count
       from {source} {where} group by tool_name"""
 

@@ -44,3 +44,8 @@ def test_dimensions_join_after_the_aggregation(spark):
     assert plan.count("hashpartitioning") == 1
     assert plan.index("BroadcastHashJoin") < plan.index("hashpartitioning")
     assert "LocalTableScan" in plan
+
+
+def test_last_errors_join_without_a_shuffle_of_their_own(spark):
+    plan = plan_of(BATCH["tool_detail"](Telemetry(spark, SF)))
+    assert plan.count("hashpartitioning") == 2  # one aggregation on each side

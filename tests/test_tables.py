@@ -89,7 +89,8 @@ def test_prune_drops_whole_days(spark, tmp_path):
     root = str(tmp_path)
     days = [(*tool_result("t"), -86400 * back) for back in range(10)]
     tables.append(logs(spark, *days), root, "log_events", "one")
-    tables.append(legacy(spark, *[("t", True, 1, None, -86400 * b) for b in range(10)]), root, "tool_events", "one")
+    old = [("t", True, 1, None, -86400 * back) for back in range(10)]
+    tables.append(legacy(spark, *old), root, "tool_events", "one")
     deleted = tables.prune(spark, root, START)
     assert len(deleted) == 4  # two days in two tables
     assert count(spark, root, "log_events") == 8
