@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telemill.session import materialize
+from telemill.session import stored
 
 # Sort keys of the tool report and the column behind each.
 SORT_COLUMNS = {
@@ -38,8 +38,8 @@ def with_position(table: DataFrame, keys: Sequence[Column], name: str = "positio
     those counts, one per partition, meet in one task.
     """
     local_bits = 33  # monotonically_increasing_id: partition above, row number below
-    numbered = materialize(
-        table.orderBy(*keys).withColumn("_row", F.monotonically_increasing_id())
+    numbered = stored(
+        table.orderBy(*keys).withColumn("_row", F.monotonically_increasing_id()), "positions"
     ).withColumns(
         {
             "_part": F.shiftright("_row", local_bits),

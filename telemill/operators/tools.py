@@ -16,7 +16,6 @@ from telemill.fixed_values import ACTIVE_WITHIN_SECONDS, AGENTS, FREQUENCY_STEPS
 from telemill.functions import attributes as A
 from telemill.functions import names, rates
 from telemill.operators.events import last_errors
-from telemill.session import materialize
 from telemill.sources.agents import agent_dim, tool_dim
 
 
@@ -142,11 +141,11 @@ def with_age(metrics: DataFrame, as_of: datetime) -> DataFrame:
 def with_frequency(metrics: DataFrame, agents: Sequence[Agent] = AGENTS) -> DataFrame:
     """Add each tool's calls relative to the busiest tool of its class.
 
-    The report is kept once, since the maxima and the rows both read it. The
-    maxima are one row per class, at most two, so they are broadcast; a window
-    over a class would put all its tools in one task.
+    The maxima and the rows read the same exchange of the report. The maxima
+    are one row per class, at most two, so they are broadcast; a window over a
+    class would put all its tools in one task.
     """
-    classed = materialize(with_tool_class(metrics, agents))
+    classed = with_tool_class(metrics, agents)
     busiest = classed.groupBy("is_builtin").agg(F.max("call_count").alias("_busiest"))
     ratio = F.col("call_count") / F.col("_busiest")
     return (

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +15,8 @@ RESULT_SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
+_made: list[str] = []
+
 
 def prepare_session(spark: SparkSession) -> SparkSession:
     """Apply the SQL settings that results depend on and return the session."""
@@ -25,32 +26,42 @@ def prepare_session(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it.
-
-    A local master without one gets a temporary folder; a cluster without one
-    is an error, since a machine-local folder would be lost with its executor.
-    """
+    """The folder all executors can reach: ``spark.checkpoint.dir``, else one in the warehouse."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return _local_folder()
-    raise ValueError("spark.checkpoint.dir must name a folder shared by the executors")
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate").rstrip("/")
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="telemill-")
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path under the shared folder that no other run uses; it goes when the process ends."""
+    folder = f"{shared_folder(spark)}/telemill/{label}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(remove_folders)
+    _made.append(folder)
+    return folder
 
 
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/telemill/{label}-{uuid.uuid4().hex}"
+def remove_folders() -> None:
+    """Delete the folders that :func:`new_folder` has named in this process.
+
+    Results are read lazily, so their folders have to stay until the last of
+    them has been used; a long-lived process calls this between jobs.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return
+    jvm = spark.sparkContext._jvm
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(configuration).delete(path, True)
 
 
-def materialize(table: DataFrame) -> DataFrame:
-    """Write a small intermediate once to the checkpoint folder, for use more than once."""
-    context = table.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(table.sparkSession))
-    return table.checkpoint()
+def stored(table: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate once to the shared folder and read it from there.
+
+    Cuts the lineage with one computation of the table, and survives the loss
+    of any executor.
+    """
+    folder = new_folder(table.sparkSession, label)
+    table.write.parquet(folder)
+    return table.sparkSession.read.schema(table.schema).parquet(folder)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -12,12 +13,15 @@ from telemill import prepare_session  # noqa: E402
 
 
 def local_session() -> SparkSession:
+    folder = tempfile.mkdtemp(prefix="telemill-tests-")
     spark = (
         SparkSession.builder.master("local[8]")
         .appName("telemill-tests")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.checkpoint.dir", f"{folder}/shared")
+        .config("spark.sql.warehouse.dir", f"{folder}/warehouse")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
