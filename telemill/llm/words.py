@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 19
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Batches cut so that their texts have about ``SLICE_BYTES``; one longer text is a slice."""
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that their texts have about ``size`` bytes; one longer text is a slice."""
     for batch in batches:
-        lengths = pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(lengths, dtype=np.int64)
         start = 0
         while start < batch.num_rows:
-            limit = (ends[start - 1] if start else 0) + SLICE_BYTES
+            limit = (ends[start - 1] if start else 0) + size
             stop = max(start + 1, int(np.searchsorted(ends, limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
@@ -44,7 +44,7 @@ class Words:
     """
 
     def __init__(self, texts: pa.Array, lower: bool = False):
-        self.data, offsets = _utf8(texts)
+        self.data, offsets = utf8(texts)
         inside = _IN_WORD[self.data]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
@@ -65,7 +65,7 @@ class Words:
         return self.data[start:stop].tobytes()
 
 
-def _utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and where each begins, with the end of the last."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :][: len(texts) + 1]
@@ -110,12 +110,15 @@ def signed(values: np.ndarray) -> np.ndarray:
 
 
 def map_batches(
-    table: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
+    table: DataFrame,
+    make: Callable[[pa.RecordBatch], pa.RecordBatch],
+    schema: str,
+    size: int = SLICE_BYTES,
 ) -> DataFrame:
     """``mapInArrow`` over slices of the column ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size):
             yield make(batch)
 
     return table.mapInArrow(run, schema)
@@ -124,3 +127,10 @@ def map_batches(
 def plain(table: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under fixed names, so that no other column can clash."""
     return table.select(*[F.col(f"`{name}`").alias(alias) for alias, name in columns.items()])
+
+
+def whole_batches(
+    table: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
+) -> DataFrame:
+    """``mapInArrow`` over the batches as they come."""
+    return table.mapInArrow(lambda batches: map(make, batches), schema)
