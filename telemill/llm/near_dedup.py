@@ -13,6 +13,9 @@ from telemill.session import stored
 
 # A pair at similarity 0.8 shares no band with a chance of (1 - 0.8**4)**28 = 4e-7.
 BANDS, ROWS = 28, 4
+# What is left after the bands is compared by sketches of this many coordinates, a byte each,
+# in blocks of buckets; a similar pair falls short of the margin with a chance of 1e-7.
+SKETCH, MARGIN, BLOCK = 448, 10, 1024
 
 
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,9 +135,10 @@ def near_duplicates(
     Two documents are linked if 100 * |intersection| >= ``percent`` * |union|
     of their shingle sets. Equal sets are one class from the start, so copies
     never meet as pairs. Classes that share a band are candidates: all members
-    of a bucket are compared with its smallest, then with its largest; only
-    buckets that still hold several components compare the rest, members of
-    different components and of fitting size, and that comparison is complete.
+    of a bucket are compared with its smallest, then with its largest. Buckets
+    that still hold several components are cut into blocks, and every member
+    meets every other one there as a sketch; pairs of different components
+    that may be similar go on to their full sets.
 
     Empty and null texts, and rows without an id, are linked with nothing; a
     row without an id has no component and is kept. Rows that share an id count
@@ -177,7 +181,7 @@ def near_duplicates(
         if open_members.isEmpty():
             break
         if last:
-            pairs = _across(open_members, fits)
+            pairs = _across(docs, open_members, shingle, percent)
         else:
             pairs = star(open_members.where("component <> most_component"), "most")
         new = _confirmed(docs, pairs, shingle, percent)
@@ -218,20 +222,65 @@ def _contested(member: DataFrame, groups: DataFrame) -> DataFrame:
     return stored(labelled.join(mixed, "bucket"), "contested")
 
 
-def _across(member: DataFrame, fits: str) -> DataFrame:
-    """Pairs of one bucket that lie in different components and have fitting sizes."""
-    other = member.select(
-        "bucket",
-        F.col("rep").alias("other"),
-        F.col("n").alias("n_other"),
-        F.col("component").alias("other_component"),
-    )
-    return (
-        member.join(other, "bucket")
-        .where("rep < other and component <> other_component")
-        .where(fits)
-        .select(F.col("rep").alias("a"), F.col("other").alias("b"))
+def _sketches(size: int):
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        values, counts = shingles(batch["text"], size)
+        full = counts > 0
+        sketch = signatures(values, counts[full], SKETCH).astype(np.uint8)
+        return pa.RecordBatch.from_arrays(
+            [batch["rep"].filter(pa.array(full)), pa.array([row.tobytes() for row in sketch], pa.binary())],
+            names=["rep", "sketch"],
+        )
+
+    return make
+
+
+def _close(percent: int):
+    """Pairs of one block, or of two, that may be similar and have no smaller bucket in common."""
+
+    def make(block: pa.Table) -> pa.Table:
+        rep, size, component, part = (
+            block[name].to_numpy() for name in ("rep", "n", "component", "part")
+        )
+        sketch = np.frombuffer(b"".join(block["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+        buckets = [set(b) for b in block["buckets"].to_pylist()]
+        bucket = block["bucket"][0].as_py()
+        two = part.min() < part.max()
+        pairs = []
+        for i in range(len(rep)):
+            other = np.flatnonzero((part > part[i]) if two else (rep > rep[i]))
+            fits = 100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])
+            other = other[fits & (component[other] != component[i])]
+            equal = (sketch[other] == sketch[i]).sum(axis=1)
+            for j in other[100 * equal >= (percent - MARGIN) * SKETCH]:
+                if min(buckets[i] & buckets[j]) == bucket:
+                    pairs.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        a, b = zip(*pairs) if pairs else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return make
+
+
+def _across(docs: DataFrame, member: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs of one bucket that lie in different components and may be similar.
+
+    A bucket of m members is cut into parts of about ``BLOCK``; each task has
+    one part or two of a bucket, so no task holds a whole large bucket, and
+    only pairs that pass leave it.
+    """
+    reps = member.groupBy("rep").agg(F.collect_set("bucket").alias("buckets"))
+    texts = docs.join(reps, docs["doc_id"] == reps["rep"]).select("rep", "text")
+    sketches = map_batches(texts, _sketches(size), "rep bigint, sketch binary").dropDuplicates(["rep"])
+    parts = member.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    rows = (
+        member.join(parts, "bucket")
+        .join(sketches.join(reps, "rep"), "rep")
+        .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumns({"low": F.least("part", "with"), "high": F.greatest("part", "with")})
+        .select("bucket", "low", "high", "part", "rep", "n", "component", "buckets", "sketch")
     )
+    return rows.groupBy("bucket", "low", "high").applyInArrow(_close(percent), "a bigint, b bigint")
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
