@@ -13,9 +13,8 @@ from telemill.session import stored
 
 # A pair at similarity 0.8 shares no band with a chance of (1 - 0.8**4)**28 = 4e-7.
 BANDS, ROWS = 28, 4
-# What is left after the bands is compared by sketches of this many coordinates, a byte each,
-# in blocks of buckets; a similar pair falls short of the margin with a chance of 1e-7.
-SKETCH, MARGIN, BLOCK = 448, 10, 1024
+# What the stars leave is compared in blocks of buckets, by bitmaps of this many bits.
+BITS, BLOCK = 8192, 1024
 
 
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,14 +108,12 @@ def _similar(size: int, percent: int):
     return make
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets are similar; only their texts are moved."""
+def _confirmed(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose full sets are similar."""
     pairs = stored(pairs.distinct(), "pairs")
-    members = pairs.select("a").union(pairs.select("b")).distinct()
-    texts = docs.join(members, docs["doc_id"] == members["a"], "left_semi")
     left = texts.select(F.col("doc_id").alias("a"), "text")
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b")
     found = map_batches(both, _similar(size, percent), "a bigint, b bigint")
     return stored(found.distinct(), "links")
 
@@ -135,10 +132,11 @@ def near_duplicates(
     Two documents are linked if 100 * |intersection| >= ``percent`` * |union|
     of their shingle sets. Equal sets are one class from the start, so copies
     never meet as pairs. Classes that share a band are candidates: all members
-    of a bucket are compared with its smallest, then with its largest. Buckets
-    that still hold several components are cut into blocks, and every member
-    meets every other one there as a sketch; pairs of different components
-    that may be similar go on to their full sets.
+    of a bucket are compared with its smallest. Buckets that then still hold
+    several components are cut into blocks, where every member meets every
+    other one as a bitmap of its set. A bitmap bounds the intersection from
+    above, so it rules out no similar pair; pairs of different components that
+    it lets pass are compared by their full sets.
 
     Empty and null texts, and rows without an id, are linked with nothing; a
     row without an id has no component and is kept. Rows that share an id count
@@ -159,36 +157,27 @@ def near_duplicates(
     member = stored(member, "buckets")
     shared = (
         member.groupBy("bucket")
-        .agg(F.min("rep").alias("least"), F.max("rep").alias("most"))
-        .where("least < most")
+        .agg(F.min("rep").alias("least"), F.count("*").alias("members"))
+        .where("members > 1")
     )
     member = stored(member.join(shared, "bucket"), "buckets")
 
     fits = f"100 * least(n, n_other) >= {percent} * greatest(n, n_other)"
     sizes = member.select(F.col("rep").alias("other"), F.col("n").alias("n_other")).distinct()
 
-    def star(of: DataFrame, centre: str) -> DataFrame:
-        pairs = of.where(f"rep <> {centre}").select(F.col(centre).alias("other"), "rep", "n").distinct()
-        return pairs.join(sizes, "other").where(fits).select(
-            F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")
-        )
+    stars = member.where("rep <> least").select(F.col("least").alias("other"), "rep", "n").distinct()
+    stars = stars.join(sizes, "other").where(fits).select(F.col("other").alias("a"), F.col("rep").alias("b"))
 
-    links = _confirmed(docs, star(member, "least"), shingle, percent)
+    # The only time that all texts are moved: after it, those of the members are at hand.
+    reps = member.select("rep").distinct().hint("merge")
+    texts = docs.join(reps, docs["doc_id"] == reps["rep"], "left_semi")
+    texts = stored(texts, "texts")
+    links = _confirmed(texts, stars, shingle, percent)
     groups = stored(connected(links), "components")
-    tested = []
-    for last in (False, True):
-        open_members = _contested(member, groups)
-        if open_members.isEmpty():
-            break
-        if last:
-            pairs = _across(docs, open_members, shingle, percent)
-        else:
-            pairs = star(open_members.where("component <> most_component"), "most")
-        new = _confirmed(docs, pairs, shingle, percent)
-        tested.append(new)
-        if not new.isEmpty():
-            links = links.union(new)
-            groups = stored(connected(links), "components")
+    contested = _contested(member, groups)
+    new = _confirmed(texts, _across(texts, contested, shingle, percent), shingle, percent)
+    if not new.isEmpty():
+        groups = stored(connected(links.union(new)), "components")
 
     named = classes.join(groups, F.col("rep") == F.col("node"), "left").select(
         "k1", "k2", F.coalesce("component", "rep").alias("component")
@@ -207,42 +196,50 @@ def near_duplicates(
 def _contested(member: DataFrame, groups: DataFrame) -> DataFrame:
     """Members, with their components, of the buckets that hold more than one component."""
     labelled = member.join(groups, F.col("rep") == F.col("node"), "left").select(
-        "bucket", "rep", "n", "most", F.coalesce("component", "rep").alias("component")
+        "bucket", "rep", "n", "members", F.coalesce("component", "rep").alias("component")
     )
     mixed = (
         labelled.groupBy("bucket")
-        .agg(
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-            F.max(F.when(F.col("rep") == F.col("most"), F.col("component"))).alias("most_component"),
-        )
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low < high")
-        .select("bucket", "most_component")
+        .select("bucket")
     )
     return stored(labelled.join(mixed, "bucket"), "contested")
 
 
-def _sketches(size: int):
+def _bitmaps(size: int):
+    """A bit for each shingle of a set, and the shingles less the bits."""
+
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         values, counts = shingles(batch["text"], size)
-        full = counts > 0
-        sketch = signatures(values, counts[full], SKETCH).astype(np.uint8)
+        places = (mix(values, 5) % np.uint64(BITS)).astype(np.int64)
+        bits = np.zeros((len(counts), BITS), bool)
+        bits[np.repeat(np.arange(len(counts)), counts), places] = True
+        packed = np.packbits(bits, axis=1)
         return pa.RecordBatch.from_arrays(
-            [batch["rep"].filter(pa.array(full)), pa.array([row.tobytes() for row in sketch], pa.binary())],
-            names=["rep", "sketch"],
+            [
+                batch["rep"],
+                pa.array([row.tobytes() for row in packed], pa.binary()),
+                pa.array(counts - bits.sum(axis=1)),
+            ],
+            names=["rep", "bits", "hidden"],
         )
 
     return make
 
 
 def _close(percent: int):
-    """Pairs of one block, or of two, that may be similar and have no smaller bucket in common."""
+    """Pairs of one part of a bucket, or of two, that may be similar and share no smaller bucket.
+
+    The intersection is at most the number of common bits, and the smaller of
+    the numbers of shingles that have no bit of their own.
+    """
 
     def make(block: pa.Table) -> pa.Table:
-        rep, size, component, part = (
-            block[name].to_numpy() for name in ("rep", "n", "component", "part")
+        rep, size, hidden, component, part = (
+            block[name].to_numpy() for name in ("rep", "n", "hidden", "component", "part")
         )
-        sketch = np.frombuffer(b"".join(block["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+        bits = np.frombuffer(b"".join(block["bits"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
         buckets = [set(b) for b in block["buckets"].to_pylist()]
         bucket = block["bucket"][0].as_py()
         two = part.min() < part.max()
@@ -251,8 +248,9 @@ def _close(percent: int):
             other = np.flatnonzero((part > part[i]) if two else (rep > rep[i]))
             fits = 100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])
             other = other[fits & (component[other] != component[i])]
-            equal = (sketch[other] == sketch[i]).sum(axis=1)
-            for j in other[100 * equal >= (percent - MARGIN) * SKETCH]:
+            common = np.bitwise_count(bits[other] & bits[i]).sum(axis=1, dtype=np.int64)
+            common += np.minimum(hidden[other], hidden[i])
+            for j in other[100 * common >= percent * (size[other] + size[i] - common)]:
                 if min(buckets[i] & buckets[j]) == bucket:
                     pairs.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
         a, b = zip(*pairs) if pairs else ((), ())
@@ -261,24 +259,23 @@ def _close(percent: int):
     return make
 
 
-def _across(docs: DataFrame, member: DataFrame, size: int, percent: int) -> DataFrame:
+def _across(texts: DataFrame, member: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs of one bucket that lie in different components and may be similar.
 
-    A bucket of m members is cut into parts of about ``BLOCK``; each task has
-    one part or two of a bucket, so no task holds a whole large bucket, and
-    only pairs that pass leave it.
+    A large bucket is cut into parts of about ``BLOCK``; a task has one part or
+    two of it, so none holds a whole large bucket, and only pairs that pass
+    leave it.
     """
-    reps = member.groupBy("rep").agg(F.collect_set("bucket").alias("buckets"))
-    texts = docs.join(reps, docs["doc_id"] == reps["rep"]).select("rep", "text")
-    sketches = map_batches(texts, _sketches(size), "rep bigint, sketch binary").dropDuplicates(["rep"])
-    parts = member.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    reps = member.groupBy("rep").agg(F.collect_set("bucket").alias("buckets")).hint("merge")
+    texts = texts.join(reps, texts["doc_id"] == reps["rep"], "left_semi").withColumnRenamed("doc_id", "rep")
+    bitmaps = map_batches(texts, _bitmaps(size), "rep bigint, bits binary, hidden bigint")
     rows = (
-        member.join(parts, "bucket")
-        .join(sketches.join(reps, "rep"), "rep")
+        member.join(bitmaps.dropDuplicates(["rep"]).join(reps, "rep").hint("merge"), "rep")
+        .withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
         .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumns({"low": F.least("part", "with"), "high": F.greatest("part", "with")})
-        .select("bucket", "low", "high", "part", "rep", "n", "component", "buckets", "sketch")
+        .select("bucket", "low", "high", "part", "rep", "n", "component", "buckets", "bits", "hidden")
     )
     return rows.groupBy("bucket", "low", "high").applyInArrow(_close(percent), "a bigint, b bigint")
 
