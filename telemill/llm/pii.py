@@ -61,21 +61,22 @@ def base_spans(text: Column) -> list[Column]:
 
 
 def _near_terms(found: DataFrame) -> DataFrame:
-    """Terms around each value: ``k1, k2, entity, term, start, end``."""
-    values = found.select("k1", "k2", "text", F.explode("base").alias("s"))
+    """Terms around each value: ``k1, k2, copies, entity, term, start, end``."""
+    values = found.select("k1", "k2", "copies", "text", F.explode("base").alias("s"))
     low = F.greatest(F.col("s.start") - NEAR, F.lit(0))
     sides = F.array(
         F.struct(low.alias("at"), F.substr("text", low + 1, F.col("s.start") - low).alias("part")),
         F.struct(F.col("s.end").alias("at"), F.substr("text", F.col("s.end") + 1, F.lit(NEAR)).alias("part")),
     )
     sides = values.select(
-        "k1", "k2", F.concat_ws(":", "s.kind", "s.value").alias("entity"), F.explode(sides).alias("side")
+        "k1", "k2", "copies", F.concat_ws(":", "s.kind", "s.value").alias("entity"), F.explode(sides).alias("side")
     )
     terms = matches(F.col("side.part"), TERM, "term", len(KINDS), lambda value: F.lit(True))
-    rows = sides.select("k1", "k2", "entity", "side.at", F.explode(terms).alias("t"))
+    rows = sides.select("k1", "k2", "copies", "entity", "side.at", F.explode(terms).alias("t"))
     return rows.select(
         "k1",
         "k2",
+        "copies",
         "entity",
         F.lower("t.value").alias("term"),
         (F.col("at") + F.col("t.start")).alias("start"),
@@ -83,40 +84,38 @@ def _near_terms(found: DataFrame) -> DataFrame:
     )
 
 
-def disclosing_terms(texts: DataFrame, found: DataFrame) -> DataFrame:
+def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Spans of the terms that disclose a value near them: ``k1, k2, terms``.
 
-    ``texts`` has all texts (``k1, k2, text``), ``found`` one copy of each text
-    with protected values. Copies of a text count once. All counts are of whole
-    texts and combined before their shuffle; words travel as hashes.
+    ``docs`` has all texts, ``found`` one of each text with protected values and
+    the number of its copies. Counts are of documents, and cover all of them;
+    copies do not add to the support. Counts are combined before their shuffle,
+    and words travel as hashes.
     """
     near = stored(_near_terms(found), "near")
     together = (
-        near.select("k1", "k2", "entity", "term")
+        near.select("k1", "k2", "copies", "entity", "term")
         .distinct()
         .groupBy("entity", "term")
-        .agg(F.count("*").alias("n_both"))
-        .where(F.col("n_both") >= SUPPORT)
+        .agg(F.count("*").alias("texts"), F.sum("copies").alias("n_both"))
+        .where(F.col("texts") >= SUPPORT)
         .withColumn("word", F.xxhash64("term"))
     )
     together = stored(together, "together")
     n_entity = (
-        found.select("k1", "k2", F.explode("base").alias("s"))
-        .select("k1", "k2", F.concat_ws(":", "s.kind", "s.value").alias("entity"))
+        found.select("k1", "k2", "copies", F.explode("base").alias("s"))
+        .select("k1", "k2", "copies", F.concat_ws(":", "s.kind", "s.value").alias("entity"))
         .distinct()
         .groupBy("entity")
-        .agg(F.count("*").alias("n_entity"))
+        .agg(F.sum("copies").alias("n_entity"))
     )
     words = F.transform(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(w))
-    wanted = together.select("word").distinct()
     n_term = (
-        texts.select("k1", "k2", F.explode(F.array_distinct(words)).alias("word"))
-        .join(wanted, "word", "left_semi")
-        .distinct()
+        docs.select(F.explode(F.array_distinct(words)).alias("word"))
         .groupBy("word")
         .agg(F.count("*").alias("n_term"))
     )
-    total = texts.select("k1", "k2").distinct().count()
+    total = docs.count()
     # PMI >= DISCLOSURE * information of the value, without the common parts.
     telling = F.log(F.col("n_both") / F.col("n_term")) >= (DISCLOSURE - 1) * F.log(total / F.col("n_entity"))
     flagged = (
@@ -166,10 +165,10 @@ def personal_data(
     once = stored(
         found.where(has)
         .groupBy("k1", "k2")
-        .agg(F.first("text").alias("text"), F.first("base").alias("base")),
+        .agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count("*").alias("copies")),
         "protected",
     )
-    terms = disclosing_terms(docs.select("k1", "k2", "text"), once)
+    terms = disclosing_terms(docs.select("text"), once)
     rows = found.join(stored(terms, "terms"), ["k1", "k2"], "left")
     def of_kind(kind: str) -> Column:
         return F.sort_array(F.filter("base", lambda s: s["kind"] == kind))
