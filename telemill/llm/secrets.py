@@ -22,6 +22,8 @@ TOKEN = (
 SAMPLES = 20000
 #: Documents from which the ordinary identifiers are taken, at most, chosen by hash.
 SAMPLE_DOCUMENTS = 2000
+#: Weight of the frequency of a character alone, in pairs.
+SMOOTHING = 5
 #: A token is a secret if a character speaks for a random string by this much, on average.
 THRESHOLD = 0.75
 
@@ -43,11 +45,11 @@ def base_spans(text: Column) -> Column:
 def _pairs(strings: DataFrame) -> DataFrame:
     """Pairs of neighbouring characters of ``value``, as places in the alphabet, with their number."""
     chars = F.filter(F.split("value", ""), lambda c: c != "")
-    places = F.transform(chars, lambda c: F.instr(F.lit(ALPHABET), c))
-    pairs = strings.select("label", F.explode(F.transform(
-        F.sequence(F.lit(1), F.size(places) - 1),
-        lambda i: F.struct(F.element_at(places, i).alias("a"), F.element_at(places, i + 1).alias("b")),
-    )).alias("p"))
+    places = strings.select("label", F.transform(chars, lambda c: F.instr(F.lit(ALPHABET), c)).alias("places"))
+    paired = F.zip_with(
+        "places", F.slice("places", 2, F.size("places")), lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    )
+    pairs = places.select("label", F.explode(paired).alias("p"))  # the last has no b
     return pairs.where("p.a > 0 and p.b > 0").groupBy("label", "p.a", "p.b").agg(F.count("*").alias("n"))
 
 
@@ -56,13 +58,13 @@ def train(docs: DataFrame) -> list[float]:
 
     The random samples are the values that the fixed patterns find; the
     ordinary ones are words of letters, digits, dashes and underscores of eight
-    or more characters outside them. Random strings have no habits, so half of
+    or more characters that are no candidates themselves. Random strings have no habits, so half of
     their model is the even distribution. Only pair counts come to the driver,
     at most two times the square of the alphabet.
     """
     found = docs.where(F.col("text").rlike(ASSIGN) | F.col("text").rlike(HEX) | F.col("text").rlike(ACCESS))
     value = F.regexp_replace(F.col("s.value"), r"^(?i:password|passwd|secret|token|api_?key)[^:=]*[:=]\x20*[\"']?", "")
-    random = (
+    values = (
         found.select(F.explode(base_spans(F.col("text"))).alias("s"))
         .select(value.alias("value"))
         .distinct()
@@ -72,27 +74,31 @@ def train(docs: DataFrame) -> list[float]:
     chosen = docs.select("text", F.xxhash64("text").alias("h"))
     ids = chosen.select("h").distinct().orderBy("h").limit(SAMPLE_DOCUMENTS)
     words = F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9_-]{8,}+"), F.lit(0))
-    ordinary = (
+    names = (
         chosen.join(ids, "h", "left_semi")
         .select(F.explode(words).alias("value"))
-        .where(~F.col("value").rlike("[0-9]{4}"))
+        .where(~F.col("value").rlike("[0-9]{4}") & ~F.col("value").rlike(TOKEN))
         .distinct()
         .orderBy(F.xxhash64("value"), "value")
         .limit(SAMPLES)
     )
-    both = random.withColumn("label", F.lit(1)).unionByName(ordinary.withColumn("label", F.lit(0)))
+    both = values.withColumn("label", F.lit(1)).unionByName(names.withColumn("label", F.lit(0)))
     size = len(ALPHABET)
     counts = [[[0] * size for _ in range(size)] for _ in range(2)]
     for row in _pairs(both.where("length(value) > 1")).collect():
         counts[row["label"]][row["a"] - 1][row["b"] - 1] += row["n"]
+    single = []  # frequency of each character in a class
+    for pairs in counts:
+        columns = [sum(row[b] for row in pairs) for b in range(size)]
+        single.append([(n + 0.5) / (sum(columns) + 0.5 * size) for n in columns])
     table = []
     for a in range(size):
-        totals = [sum(counts[label][a]) for label in (0, 1)]
         for b in range(size):
-            even = 1 / size
-            ordinary_p = (counts[0][a][b] + 0.5) / (totals[0] + 0.5 * size)
-            random_p = 0.5 * even + 0.5 * (counts[1][a][b] + 0.5) / (totals[1] + 0.5 * size)
-            table.append(math.log(random_p / ordinary_p))
+            ordinary, random = (
+                (counts[label][a][b] + SMOOTHING * single[label][b]) / (sum(counts[label][a]) + SMOOTHING)
+                for label in (0, 1)
+            )
+            table.append(math.log((0.5 / size + 0.5 * random) / ordinary))
     return table
 
 
