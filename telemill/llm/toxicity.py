@@ -28,6 +28,8 @@ FEATURES = 1024
 LEAST_CHI2, LEAST_TOXIC = 10.83, 3
 NEIGHBOURS = 15
 BLOCK = 64
+#: Blocks that a search scores together.
+AT_ONCE = 8
 #: Scores are calibrated on the examples in this many groups of equal size.
 GROUPS = 20
 CUT = 0.3
@@ -140,15 +142,11 @@ class ExampleIndex:
         self.ids, self.features = [r[0] for r in rows], [r[2] for r in rows]
         self.labels = np.array([r[1] for r in rows], np.int64)
         self.blocks = -(-len(rows) // BLOCK)
-        self.largest = np.zeros((len(idf), self.blocks))
-        self.postings: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
+        # The postings of a feature by block; the numbers are bounded by the parameters above.
+        self.postings = np.zeros((len(idf), self.blocks, BLOCK))
         for at, (_, _, features) in enumerate(rows):
-            for feature, weight in zip(features, self.vector(features)):
-                ids, own = self.postings.setdefault((feature, at // BLOCK), ([], []))
-                ids.append(at % BLOCK)
-                own.append(weight)
-                self.largest[feature, at // BLOCK] = max(self.largest[feature, at // BLOCK], weight)
-        self.postings = {k: (np.array(i), np.array(w)) for k, (i, w) in self.postings.items()}
+            self.postings[features, at // BLOCK, at % BLOCK] = self.vector(features)
+        self.largest = self.postings.max(axis=2, initial=0.0)
 
     def vector(self, features: list[int]) -> np.ndarray:
         weights = self.idf[features]
@@ -158,20 +156,23 @@ class ExampleIndex:
         """The ``count`` nearest examples as (cosine, place), nearest first; equal ones by place."""
         query = self.vector(features)
         bound = query @ self.largest[features]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable"):
-            # A tie goes to the lower place, so equal bounds have to be looked at.
-            if bound[block] <= 0 or (len(best) == count and bound[block] < best[-1][0] - 1e-12):
+        order = np.argsort(-bound, kind="stable")
+        scores, places, least = np.zeros(0), np.zeros(0, np.int64), -1.0
+        for start in range(0, self.blocks, AT_ONCE):
+            # A tie goes to the lower place, so blocks of an equal bound have to be looked at.
+            blocks = order[start : start + AT_ONCE]
+            blocks = blocks[(bound[blocks] > 0) & (bound[blocks] >= least - 1e-9)]
+            if not len(blocks):
                 break
-            score = np.zeros(BLOCK)
-            for feature, weight in zip(features, query):
-                ids, own = self.postings.get((feature, block), ((), ()))
-                if len(ids):
-                    score[ids] += weight * own
-            some = np.flatnonzero(score)
-            best += [(round(float(score[i]), 12), int(block) * BLOCK + int(i)) for i in some]
-            best = sorted((b for b in best if b[1] != without), key=lambda b: (-b[0], b[1]))[:count]
-        return best
+            score = np.tensordot(query, self.postings[np.ix_(features, blocks)], axes=1).round(12)
+            place = blocks[:, None] * BLOCK + np.arange(BLOCK)
+            some = (score > 0) & (place != without)
+            scores = np.concatenate((scores, score[some]))
+            places = np.concatenate((places, place[some]))
+            first = np.lexsort((places, -scores))[:count]
+            scores, places = scores[first], places[first]
+            least = scores[-1] if len(scores) == count else -1.0
+        return list(zip(scores.tolist(), places.tolist()))
 
     def vote(self, best: list[tuple[float, int]]) -> float:
         """Share of toxicity among the nearest, by their cosine and the rows they stand for."""
