@@ -116,13 +116,13 @@ def _text_attributes(bag: str) -> str:
 
 def _signed(text: str) -> str:
     """Value of a whole number, NULL if the text is not one."""
-    return f"if({text} RLIKE '^[+-]?[0-9]+$', try_cast({text} AS BIGINT), NULL)"
+    return f"if({text} RLIKE '^[+-]?[0-9]+\\\\z', try_cast({text} AS BIGINT), NULL)"
 
 
 def _unsigned_wrapped(text: str) -> str:
     """Value of an unsigned 64-bit number; from 2^63 up it wraps to negative."""
     large = f"try_cast({text} AS DECIMAL(38, 0))"
-    return f"""if({text} RLIKE '^[+]?[0-9]+$', coalesce(try_cast({text} AS BIGINT),
+    return f"""if({text} RLIKE '^[+]?[0-9]+\\\\z', coalesce(try_cast({text} AS BIGINT),
       if({large} < 18446744073709551616BD,
         CAST({large} - 18446744073709551616BD AS BIGINT), NULL)), NULL)"""
 

@@ -126,7 +126,8 @@ def prune(spark: SparkSession, root: str, as_of: datetime, days: int = RETENTION
     for status in files.globStatus(pattern) or []:
         folder = status.getPath()
         day = folder.getName().removeprefix("event_date=")
-        if date.fromisoformat(day) < first_day:
+        # Rows without a time lie in a folder that has no day, and stay.
+        if day != "__HIVE_DEFAULT_PARTITION__" and date.fromisoformat(day) < first_day:
             files.delete(folder, True)
             deleted.append(folder.toString())
     return deleted

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +29,12 @@ def payload_stream(spark: SparkSession, folder: str, files_per_batch: int | None
     )
 
 
-def _append_batch(payloads: DataFrame, batch: int, signal: str, root: str, name: str) -> None:
-    _APPEND[signal](payloads, root, f"{name}-{batch:012d}")
+def _append_batch(
+    payloads: DataFrame, batch: int, signal: str, root: str, name: str, checkpoint: str
+) -> None:
+    # The checkpoint names its stream; no other stream and no fresh checkpoint has that id.
+    stream = json.loads(payloads.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+    _APPEND[signal](payloads, root, f"{name}-{stream}-{batch:012d}")
 
 
 def start_ingest(
@@ -42,11 +47,11 @@ def start_ingest(
 ) -> StreamingQuery:
     """Append ``logs`` or ``metrics`` payloads of a stream to the tables.
 
-    Each micro-batch is one load named after the stream and the batch: if it is
-    run again after a failure it replaces its own files, so every payload is
+    Each micro-batch is one load named after the stream's checkpoint and the
+    batch, so streams never replace each other's loads: if it is run again after a failure it replaces its own files, so every payload is
     stored once. ``trigger`` is passed on, such as ``availableNow=True``.
     """
     writer = payloads.writeStream.foreachBatch(
-        partial(_append_batch, signal=signal, root=root, name=f"{name}-{signal}")
+        partial(_append_batch, signal=signal, root=root, name=f"{name}-{signal}", checkpoint=checkpoint)
     ).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()

@@ -320,3 +320,10 @@ def test_payload_is_parsed_once(spark):
         plan = events._jdf.queryExecution().optimizedPlan().toString()
         below = plan[plan.index("Generate posexplode") :]
         assert "Filter" not in below
+
+
+def test_line_end_after_a_whole_number_is_not_read(spark):
+    assert spark.sql(f"select {otlp._signed(chr(39) + '5' + chr(39))} as x").first().x == 5
+    bad = spark.createDataFrame([("5\n",)], "v string")
+    assert bad.selectExpr(f"{otlp._signed('v')} as x").first().x is None
+    assert bad.selectExpr(f"{otlp._unsigned_wrapped('v')} as x").first().x is None

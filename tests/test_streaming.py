@@ -56,9 +56,11 @@ def test_a_repeated_batch_is_stored_once(spark, tmp_path):
     rows = spark.createDataFrame([(payload,)], "payload string").select(
         "payload", F.lit(at(0)).cast("timestamp").alias("ingest_ts")
     )
-    root = str(tmp_path)
+    root, checkpoint = str(tmp_path / "tables"), tmp_path / "checkpoint"
+    checkpoint.mkdir()
+    (checkpoint / "metadata").write_text('{"id": "s"}')
     for batch in (0, 1, 1):
-        ingest._append_batch(rows, batch, "logs", root, "s")
+        ingest._append_batch(rows, batch, "logs", root, "logs", str(checkpoint))
     assert tables.read(spark, root, "log_events").count() == 2
 
 
@@ -119,3 +121,16 @@ def test_delay_drops_late_events_only(spark, tmp_path):
     assert calls(None, "whole") == [3, 3]
     early, recent = calls("10 minutes", "cut")
     assert (early < 3, recent) == (True, 3)
+
+
+def test_two_streams_and_a_fresh_checkpoint_keep_each_others_rows(spark, tmp_path):
+    payloads = fixture.log_payloads(fixture.base_events(spark, SF)).select("payload").limit(2)
+    source, root = str(tmp_path / "in"), str(tmp_path / "tables")
+    payloads.write.text(source)
+    counts = []
+    for checkpoint in ("a", "b"):
+        stream = ingest.payload_stream(spark, source)
+        folder = str(tmp_path / checkpoint)
+        ingest.start_ingest(stream, root, folder, "logs", availableNow=True).awaitTermination()
+        counts.append(tables.read(spark, root, "log_events").count())
+    assert counts[1] == 2 * counts[0] > 0
