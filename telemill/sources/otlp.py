@@ -131,10 +131,15 @@ def _absent_or_signed(text: str) -> str:
     return f"({text} IS NULL OR {_signed(text)} IS NOT NULL)"
 
 
+def _absent_or_finite(number: str) -> str:
+    return f"({number} IS NULL OR abs({number}) < double('infinity'))"
+
+
 def _complete_attributes(bag: str) -> str:
     """Whether an attribute list is absent or has a key and a readable value everywhere."""
     return f"""({bag} IS NULL OR forall({bag}, a ->
-      a.key IS NOT NULL AND a.value IS NOT NULL AND {_absent_or_signed('a.value.intValue')}))"""
+      a.key IS NOT NULL AND a.value IS NOT NULL AND {_absent_or_signed('a.value.intValue')}
+      AND {_absent_or_finite('a.value.doubleValue')}))"""
 
 
 def _first_text(attributes: str, key: str) -> str:
@@ -194,7 +199,7 @@ def _metric_requests(payloads: DataFrame, payload: str) -> DataFrame:
     def in_both(condition: str) -> str:
         return f"{in_points('sum', condition)} AND {in_points('gauge', condition)}"
 
-    point = f"""p IS NOT NULL AND {_absent_or_signed('p.asInt')}
+    point = f"""p IS NOT NULL AND {_absent_or_signed('p.asInt')} AND {_absent_or_finite('p.asDouble')}
       AND {_complete_attributes('p.attributes')}"""
     complete = f"x.name IS NOT NULL AND {in_both(point)}"
     text = f"{_is_text('x.name')} AND {in_both(_text_attributes('p.attributes'))}"

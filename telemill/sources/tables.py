@@ -7,6 +7,7 @@ repeat, since writing a load again replaces exactly its own files.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, datetime, timedelta
 
 from pyspark.errors import AnalysisException
@@ -43,13 +44,36 @@ def stored_schema(table: str) -> T.StructType:
     )
 
 
-def _write(rows: DataFrame, root: str, load_id: str) -> None:
-    """Append rows that name their ``table`` and ``event_family``, in one pass.
+def _files_of_load(spark: SparkSession, root: str, load_id: str, names: Sequence[str]) -> list:
+    """Paths of the files that a load has in some tables.
+
+    The load is named in the pattern, so days and families are listed, but not
+    the other loads.
+    """
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(load_id)
+    found = []
+    for name in names:
+        pattern = jvm.org.apache.hadoop.fs.Path(
+            f"{root}/table={name}/event_date=*/event_family=*/load_id={folder}/*.parquet"
+        )
+        files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found += [status.getPath() for status in files.globStatus(pattern) or []]
+    return found
+
+
+def _write(rows: DataFrame, root: str, load_id: str, names: Sequence[str]) -> None:
+    """Append rows that name their ``table``, one of ``names``, and ``event_family``, in one pass.
 
     Rebalancing gives files of the advisory size whatever the number of tasks
     before it, and splits a day and family that holds most of the rows. Files
     are in time order, so that row groups prune within a day.
+
+    Overwriting replaces the load's folders that get rows again; its files in
+    other folders, left by a run with other rows, are deleted afterwards.
     """
+    spark = rows.sparkSession
+    before = _files_of_load(spark, root, load_id, names)
     layout = rows.withColumns(
         {"event_date": F.to_date("timestamp"), "load_id": F.lit(load_id)}
     ).hint("rebalance", *_PARTITIONS)
@@ -60,6 +84,8 @@ def _write(rows: DataFrame, root: str, load_id: str) -> None:
         .partitionBy(*_PARTITIONS)
         .parquet(root)
     )
+    for path in before:
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
 
 
 def append(rows: DataFrame, root: str, table: str, load_id: str) -> None:
@@ -73,7 +99,7 @@ def append(rows: DataFrame, root: str, table: str, load_id: str) -> None:
         typed = with_promoted_attributes(typed).withColumn("event_family", event_family())
     else:
         typed = typed.withColumn("event_family", F.lit(None).cast("string"))
-    _write(typed.withColumn("table", F.lit(table)), root, load_id)
+    _write(typed.withColumn("table", F.lit(table)), root, load_id, [table])
 
 
 def append_log_payloads(payloads: DataFrame, root: str, load_id: str) -> None:
@@ -82,7 +108,7 @@ def append_log_payloads(payloads: DataFrame, root: str, load_id: str) -> None:
         "table", F.when(F.col("valid"), "log_events").otherwise("bad_log_payloads")
     )
     promoted = with_promoted_attributes(rows).withColumn("event_family", event_family())
-    _write(promoted.drop("valid"), root, load_id)
+    _write(promoted.drop("valid"), root, load_id, ["log_events", "bad_log_payloads"])
 
 
 def append_metric_payloads(
@@ -90,7 +116,8 @@ def append_metric_payloads(
 ) -> None:
     """Parse metric requests and append to three tables and the bad payloads, reading once."""
     routed = routed_points(metric_rows(payloads), profile)
-    _write(routed.withColumn("event_family", F.lit(None).cast("string")), root, load_id)
+    names = ["token_usage", "cost_usage", "session_metrics", "bad_metric_payloads"]
+    _write(routed.withColumn("event_family", F.lit(None).cast("string")), root, load_id, names)
 
 
 def read(spark: SparkSession, root: str, table: str, since: datetime | None = None) -> DataFrame:

@@ -327,3 +327,14 @@ def test_line_end_after_a_whole_number_is_not_read(spark):
     bad = spark.createDataFrame([("5\n",)], "v string")
     assert bad.selectExpr(f"{otlp._signed('v')} as x").first().x is None
     assert bad.selectExpr(f"{otlp._unsigned_wrapped('v')} as x").first().x is None
+
+
+def test_numbers_that_no_double_holds_are_refused(spark):
+    text = json.dumps(log_request({"attributes": [attribute("x", doubleValue=0.5)]}))
+    large = text.replace("0.5", "1e400")
+    events, bad = parsed_logs(spark, text, large)
+    assert (len(events), bad) == (1, [large])
+    text = json.dumps(metric_request(metric("claude_code.cost.usage", "sum", {"asDouble": 0.5})))
+    large = text.replace("0.5", "-1e400")
+    (_, costs, _), bad = parsed_metrics(spark, text, large)
+    assert (len(costs), bad) == (1, [large])

@@ -160,3 +160,18 @@ def test_a_hot_day_is_split_into_files(spark, tmp_path):
     files = glob.glob(f"{tmp_path}/table=log_events/*/*/*/*.parquet")
     assert len(files) > 3
     assert count(spark, str(tmp_path), "log_events") == 200_000
+
+
+def test_a_load_run_again_leaves_none_of_its_old_rows(spark, tmp_path):
+    root = str(tmp_path)
+    first = logs(spark, (*tool_result("a"), 0), (*tool_result("b"), 86400))
+    moved = logs(spark, (*tool_result("a"), 2 * 86400))
+    tables.append(first, root, "log_events", "2024-01-10T12:00")
+    tables.append(first, root, "log_events", "other")
+    tables.append(legacy(spark, ("a", True, 1, None)), root, "tool_events", "2024-01-10T12:00")
+    tables.append(moved, root, "log_events", "2024-01-10T12:00")
+    loads = spark.read.parquet(f"{root}/table=log_events").groupBy("load_id").count().collect()
+    assert {r.load_id: r["count"] for r in loads} == {"2024-01-10T12:00": 1, "other": 2}
+    assert count(spark, root, "tool_events") == 1
+    tables.append(moved.limit(0), root, "log_events", "2024-01-10T12:00")
+    assert count(spark, root, "log_events") == 2
