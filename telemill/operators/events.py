@@ -59,8 +59,13 @@ def tool_errors(legacy: DataFrame, logs: DataFrame, since: datetime | None = Non
         .filter(~F.col("success") & F.col("error").isNotNull())
         .select("id", "timestamp", "tool_name", F.col("error").alias("error_msg"))
     )
+    return old.unionByName(logged_tool_errors(logs, since))
+
+
+def logged_tool_errors(logs: DataFrame, since: datetime | None = None) -> DataFrame:
+    """The failed calls with an error text among the log events."""
     results = since_results(logs, since)
-    new = (
+    return (
         results.filter(A.said_unsuccessful(results) & A.attribute(results, "error").isNotNull())
         .filter(A.attribute(results, "tool_name").isNotNull())
         .select(
@@ -70,7 +75,6 @@ def tool_errors(legacy: DataFrame, logs: DataFrame, since: datetime | None = Non
             A.attribute(results, "error").alias("error_msg"),
         )
     )
-    return old.unionByName(new)
 
 
 def last_error(errors: DataFrame, tool: str) -> DataFrame:

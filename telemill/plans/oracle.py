@@ -432,4 +432,20 @@ ORACLE: dict[str, str] = {
     "stream_sliding_windows": _windows(60, [0, 30]),
     "stream_agents": f"""{TABLES} {_DETECTED.format(calls='logged_calls')}
       select agent, first_seen from first_seen""",
+    "stream_last_errors": f"""{TABLES}
+      select tool_name, timestamp, error as error_msg from (
+        select *, row_number() over (
+          partition by tool_name order by timestamp desc, id desc, error desc) as place
+        from log_flat
+        where event_name like '%tool_result' and tool_name is not null
+          and success not in ('true', '1') and error is not null)
+      where place = 1""",
+    "stream_api_by_model": _api_by_model(),
+    "stream_tokens_by_type": f"""{TABLES}
+      select token_type, cast(sum(count) as bigint) as tokens from token_usage group by token_type""",
+    "stream_cost_total": f"""{TABLES}
+      select round(coalesce(sum(cost_usd), 0), 4) as total_cost_usd from cost_usage""",
+    "stream_session_by_name": f"""{TABLES}
+      select metric_name, cast(sum(value) as bigint) as total from session_metrics
+      group by metric_name""",
 }

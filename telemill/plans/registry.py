@@ -261,10 +261,10 @@ def stream_ingest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(_routed_rows(*[tables.read(spark, f"{folder}/tables", n) for n in names]))
 
 
-def _live(report: Callable[[DataFrame], DataFrame]) -> Query:
+def _live(report: Callable[[DataFrame], DataFrame], table: str = "log_events") -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        logs = fixture.log_events(fixture.base_stream(spark, sf_dir))
-        return shown(live.report_now(report(logs), new_folder(spark, "live")))
+        rows = fixture.TABLES[table](fixture.base_stream(spark, sf_dir))
+        return shown(live.report_now(report(rows), new_folder(spark, "live")))
 
     return query
 
@@ -278,6 +278,11 @@ ON_DISK: dict[str, Query] = {
     "stream_hourly_windows": _live(live.stream_windows),
     "stream_sliding_windows": _live(lambda logs: live.stream_windows(logs, "1 hour", "30 minutes")),
     "stream_agents": _live(live.stream_agents),
+    "stream_last_errors": _live(live.stream_last_errors),
+    "stream_api_by_model": _live(live.stream_api_by_model),
+    "stream_tokens_by_type": _live(live.stream_tokens_by_type, "token_usage"),
+    "stream_cost_total": _live(live.stream_cost_total, "cost_usage"),
+    "stream_session_by_name": _live(live.stream_session_by_name, "session_metrics"),
 }
 
 

@@ -3,19 +3,24 @@
 The all-time reports are the batch functions applied to a stream. State is one
 row per tool or agent, built from partial sums, so a hot tool does not weigh on
 one task. Nothing is late: without a delay given, no row is dropped.
+
+Whole reports (``start_report``) keep their state; windows with a delay free it
+when only their changes are written (``start_changes``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from telemill.fixed_values import AGENTS, Agent
 from telemill.operators.agents import agent_sightings
-from telemill.operators.events import logged_tool_calls
+from telemill.operators import usage
+from telemill.operators.api import api_by_model
+from telemill.operators.events import last_errors, logged_tool_calls, logged_tool_errors
 from telemill.operators.tools import tool_metrics
 
 
@@ -24,13 +29,39 @@ def stream_tool_metrics(logs: DataFrame) -> DataFrame:
     return tool_metrics(logged_tool_calls(logs))
 
 
+def stream_last_errors(logs: DataFrame) -> DataFrame:
+    """Newest error of every tool over all log events so far."""
+    return last_errors(logged_tool_errors(logs))
+
+
+def stream_api_by_model(logs: DataFrame) -> DataFrame:
+    """Calls and mean latency per model so far."""
+    return api_by_model(logs)
+
+
+def stream_tokens_by_type(tokens: DataFrame) -> DataFrame:
+    """Tokens per type so far."""
+    return usage.tokens_by_type(tokens)
+
+
+def stream_cost_total(costs: DataFrame) -> DataFrame:
+    """Cost in all so far."""
+    return usage.cost_total(costs)
+
+
+def stream_session_by_name(metrics: DataFrame) -> DataFrame:
+    """Signed sum per session metric so far."""
+    return usage.session_by_name(metrics)
+
+
 def stream_windows(
     logs: DataFrame, size: str = "1 hour", slide: str | None = None, delay: str | None = None
 ) -> DataFrame:
     """Calls and errors per tool and time window.
 
-    With a ``delay`` the state of a window is dropped once events are that much
-    later than its end, and events later still are not counted.
+    With a ``delay``, and written by ``start_changes``, the state of a window is
+    dropped once events are that much later than its end, and events later
+    still are not counted.
     """
     calls = logged_tool_calls(logs)
     if delay is not None:
@@ -63,6 +94,15 @@ def stream_agents(logs: DataFrame, agents: Sequence[Agent] = AGENTS) -> DataFram
     )
 
 
+def _batches(spark: SparkSession, folder: str) -> dict[int, str]:
+    """Folders of the batches that are written whole, by their number."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{folder}/batch=*/_SUCCESS")
+    files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [status.getPath().getParent() for status in files.globStatus(pattern) or []]
+    return {int(path.getName().removeprefix("batch=")): path.toString() for path in done}
+
+
 def _write_batch(folder: str):
     def write(result: DataFrame, batch: int) -> None:
         result.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
@@ -70,24 +110,64 @@ def _write_batch(folder: str):
     return write
 
 
+def _replace_batch(folder: str):
+    def write(result: DataFrame, batch: int) -> None:
+        _write_batch(folder)(result, batch)
+        # The report before stays, since it may be being read.
+        spark = result.sparkSession
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for number, place in _batches(spark, folder).items():
+            if number < batch - 1:
+                path = hadoop.Path(place)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    return write
+
+
+def _start(report: DataFrame, mode: str, write, checkpoint: str, trigger: dict) -> StreamingQuery:
+    writer = (
+        report.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
+    )
+    return (writer.trigger(**trigger) if trigger else writer).start()
+
+
 def start_report(
     report: DataFrame, folder: str, checkpoint: str, **trigger: object
 ) -> StreamingQuery:
-    """Write the whole report to ``<folder>/batch=<n>`` after every micro-batch."""
-    writer = (
-        report.writeStream.outputMode("complete")
-        .foreachBatch(_write_batch(folder))
-        .option("checkpointLocation", checkpoint)
+    """Write the whole report to ``<folder>/batch=<n>`` after every micro-batch.
+
+    The newest report and the one before it are kept.
+    """
+    return _start(report, "complete", _replace_batch(folder), checkpoint, trigger)
+
+
+def start_changes(
+    report: DataFrame, folder: str, checkpoint: str, **trigger: object
+) -> StreamingQuery:
+    """Write the rows that a micro-batch changed to ``<folder>/batch=<n>``; see ``newest_rows``."""
+    return _start(report, "update", _write_batch(folder), checkpoint, trigger)
+
+
+def newest_rows(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFrame:
+    """The last state of each row that ``start_changes`` has written, by its keys."""
+    changes = spark.read.parquet(folder)
+    names = [name for name in changes.columns if name not in (*keys, "batch")]
+    return (
+        changes.groupBy(*keys)
+        .agg(F.max_by(F.struct(*names), "batch").alias("newest"))
+        .select(*keys, "newest.*")
     )
-    return (writer.trigger(**trigger) if trigger else writer).start()
 
 
 def report_now(report: DataFrame, folder: str) -> DataFrame:
-    """Run a streaming report over all input there is and return its last state."""
+    """Run a streaming report over all input there is and return its last state.
+
+    Called again on the same folder, it takes what is new, if anything.
+    """
     query = start_report(report, f"{folder}/out", f"{folder}/checkpoint", availableNow=True)
     query.awaitTermination()
     spark = report.sparkSession
-    batches = [done["batchId"] for done in query.recentProgress if done["numInputRows"] > 0]
+    batches = _batches(spark, f"{folder}/out")
     if not batches:
         return spark.createDataFrame([], report.schema)
-    return spark.read.schema(report.schema).parquet(f"{folder}/out/batch={max(batches)}")
+    return spark.read.schema(report.schema).parquet(batches[max(batches)])

@@ -134,3 +134,44 @@ def test_two_streams_and_a_fresh_checkpoint_keep_each_others_rows(spark, tmp_pat
         ingest.start_ingest(stream, root, folder, "logs", availableNow=True).awaitTermination()
         counts.append(tables.read(spark, root, "log_events").count())
     assert counts[1] == 2 * counts[0] > 0
+
+
+def test_a_delay_frees_state_and_keeps_the_last_state_of_each_window(spark, tmp_path):
+    days = [logs(spark, (*tool_result("t"), day * 5 * 86400)) for day in range(3)]
+    stream = stored_stream(spark, str(tmp_path / "logs"), *days)
+    out = str(tmp_path / "out")
+    query = live.start_changes(
+        live.stream_windows(stream, "1 hour", delay="1 hour"),
+        out,
+        str(tmp_path / "checkpoint"),
+        availableNow=True,
+    )
+    query.awaitTermination()
+    held = [done["stateOperators"][0]["numRowsTotal"] for done in query.recentProgress]
+    assert max(held) <= 2 and held[-1] == 1
+    newest = live.newest_rows(spark, out, ["window_start", "window_end", "tool_name"])
+    assert [r.calls for r in newest.collect()] == [1, 1, 1]
+
+
+def test_changes_of_a_window_replace_each_other(spark, tmp_path):
+    parts = [logs(spark, (*tool_result("t"), 0)), logs(spark, (*tool_result("t"), 60))]
+    stream = stored_stream(spark, str(tmp_path / "logs"), *parts)
+    out = str(tmp_path / "out")
+    report = live.stream_windows(stream)
+    live.start_changes(report, out, str(tmp_path / "c"), availableNow=True).awaitTermination()
+    newest = live.newest_rows(spark, out, ["window_start", "window_end", "tool_name"])
+    assert [r.calls for r in newest.collect()] == [2]
+
+
+def test_a_report_without_new_input_is_the_last_one_and_old_ones_go(spark, tmp_path):
+    parts = [logs(spark, (*tool_result("t"), place)) for place in range(4)]
+    stream = stored_stream(spark, str(tmp_path / "logs"), *parts)
+    report, folder = live.stream_tool_metrics(stream), str(tmp_path / "report")
+    for _ in range(2):
+        assert [r.call_count for r in live.report_now(report, folder).collect()] == [4]
+    assert len(list((tmp_path / "report" / "out").glob("batch=*"))) == 2
+
+
+def test_a_report_without_any_input_is_empty(spark, tmp_path):
+    stream = stored_stream(spark, str(tmp_path / "logs"), logs(spark).limit(0))
+    assert live.report_now(live.stream_api_by_model(stream), str(tmp_path / "report")).count() == 0
