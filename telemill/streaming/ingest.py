@@ -15,16 +15,22 @@ from telemill.sources.tables import append_log_payloads, append_metric_payloads
 _APPEND = {"logs": append_log_payloads, "metrics": append_metric_payloads}
 
 
-def payload_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    """Payloads of a folder of text files, one request per line, as they arrive.
-
-    A line's arrival time is the time of its micro-batch, which the checkpoint
+def payload_stream(
+    spark: SparkSession,
+    folder: str,
+    files_per_batch: int | None = None,
+    whole_files: bool = False,
+) -> DataFrame:
+    """Payloads of a folder of text files as they arrive.
+
+    Each line is one request or, with ``whole_files``, each file, whose request
+    may then span lines. A payload's arrival time is the time of its micro-batch, which the checkpoint
     keeps, so a repeated batch gives the same rows.
     """
     reader = prepare_session(spark).readStream
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.text(folder).select(
+    return reader.text(folder, wholetext=whole_files).select(
         F.col("value").alias("payload"), F.current_timestamp().alias("ingest_ts")
     )
 
@@ -48,8 +54,8 @@ def start_ingest(
     """Append ``logs`` or ``metrics`` payloads of a stream to the tables.
 
     Each micro-batch is one load named after the stream's checkpoint and the
-    batch, so streams never replace each other's loads: if it is run again after a failure it replaces its own files, so every payload is
-    stored once. ``trigger`` is passed on, such as ``availableNow=True``.
+    batch, so streams never replace each other's loads: if it is run again after
+    a failure it replaces its own files, so every payload is stored once. ``trigger`` is passed on, such as ``availableNow=True``.
     """
     writer = payloads.writeStream.foreachBatch(
         partial(_append_batch, signal=signal, root=root, name=f"{name}-{signal}", checkpoint=checkpoint)

@@ -175,3 +175,15 @@ def test_a_report_without_new_input_is_the_last_one_and_old_ones_go(spark, tmp_p
 def test_a_report_without_any_input_is_empty(spark, tmp_path):
     stream = stored_stream(spark, str(tmp_path / "logs"), logs(spark).limit(0))
     assert live.report_now(live.stream_api_by_model(stream), str(tmp_path / "report")).count() == 0
+
+
+def test_a_request_may_span_the_lines_of_a_file(spark, tmp_path):
+    request = {"resourceLogs": [{"scopeLogs": [{"logRecords": [{}, {}]}]}]}
+    source, root = tmp_path / "in", str(tmp_path / "tables")
+    source.mkdir()
+    (source / "one.json").write_text(json.dumps(request, indent=2))
+    stream = ingest.payload_stream(spark, str(source), whole_files=True)
+    checkpoint = str(tmp_path / "checkpoint")
+    ingest.start_ingest(stream, root, checkpoint, "logs", availableNow=True).awaitTermination()
+    assert tables.read(spark, root, "log_events").count() == 2
+    assert tables.read(spark, root, "bad_log_payloads").count() == 0
