@@ -23,9 +23,9 @@ from telemill.llm.words import lists, map_batches, plain, starts_of, utf8, whole
 MARK = "▁"
 NORMAL, BYTE, UNIGRAM = 1, 6, 1
 #: Words and piece pairs that a task remembers between batches.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Bytes of text whose words are sorted together.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 2 << 20
 
 
 class Pieces:
@@ -47,6 +47,10 @@ class Pieces:
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
         bytes_ = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.bytes = [bytes_[b] for b in range(256)]
+        # What each id stands for.
+        self.texts = [piece.replace(MARK, " ").encode() for piece in self.pieces]
+        for value, i in enumerate(self.bytes):
+            self.texts[i] = bytes([value])
         self.check()
 
     def check(self) -> None:
@@ -57,13 +61,6 @@ class Pieces:
         self.endings = {p[i:]: self.ids.get(p[i:], -1) for p in self.ids for i in range(len(p))}
         self.breaks = "".join(c for c in "\n\t\r" if not any(c in piece for piece in self.ids))
 
-    def texts(self) -> list[bytes]:
-        """What each id stands for."""
-        out = [piece.replace(MARK, " ").encode() for piece in self.pieces]
-        for value, i in enumerate(self.bytes):
-            out[i] = bytes([value])
-        return out
-
 
 class Encoder:
     """Encodes words in sorted order; remembers pairs of pieces and recent words within a bound."""
@@ -192,36 +189,35 @@ def marked_words(texts: pa.Array, pieces: Pieces) -> tuple[pa.Array, np.ndarray]
     return pa.LargeStringArray.from_buffers(len(begin), borders, pa.py_buffer(data)), counts
 
 
-def decode(ids: np.ndarray, counts: np.ndarray, texts: list[bytes], prefix: str) -> list[str]:
+def decode(ids: np.ndarray, counts: np.ndarray, pieces: Pieces) -> list[str]:
     """Texts of ids; the blank that encoding put in front of each goes."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    whole = data[ranges(starts_of(sizes)[ids], sizes[ids])].tobytes()
-    ends = np.concatenate(([0], np.cumsum(sizes[ids])))[np.concatenate(([0], np.cumsum(counts)))]
-    parts = [whole[a:b] for a, b in zip(ends[:-1], ends[1:])]
-    return [(p[1:] if prefix and p[:1] == b" " else p).decode("utf-8", "replace") for p in parts]
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    out = []
+    for a, b in zip(ends[:-1], ends[1:]):
+        text = b"".join(map(pieces.texts.__getitem__, ids[a:b].tolist()))
+        out.append((text[1:] if pieces.prefix and text[:1] == b" " else text).decode("utf-8", "replace"))
+    return out
 
 
-def _encoded(shared):
+def _encoded(shared, also_text: bool = False):
     state: list[Encoder] = []
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not state:
             state.append(Encoder(shared.value))
         ids, counts = state[0].encode(batch["text"])
-        return pa.RecordBatch.from_arrays(
-            [batch["doc_id"], lists(ids, counts, pa.int32())], names=["doc_id", "ids"]
-        )
+        out = [batch["doc_id"], lists(ids, counts, pa.int32())]
+        if also_text:
+            out.append(pa.array(decode(ids, counts, shared.value), pa.string()))
+        return pa.RecordBatch.from_arrays(out, names=["doc_id", "ids", "text"][: len(out)])
 
     return make
 
 
 def _checked(shared):
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pieces = shared.value
         ids = batch["ids"]
-        counts = np.diff(ids.offsets.to_numpy())
-        texts = decode(ids.flatten().to_numpy(), counts, pieces.texts(), pieces.prefix)
+        texts = decode(ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy()), shared.value)
         return pa.RecordBatch.from_arrays(
             [batch["doc_id"], ids, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"]
         )
@@ -251,6 +247,18 @@ def decoded(encoded: DataFrame, model_file: str) -> DataFrame:
     return whole_batches(encoded, _checked(shared), f"doc_id {kind}, ids array<int>, text string")
 
 
+def round_trip(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Ids of each text and the text that they decode to: ``doc_id, ids, text``, in one pass over the texts.
+
+    Same rows as :func:`decoded` of :func:`encode`, with half as many Python workers.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(Pieces(model_file))
+    docs = plain(docs, doc_id=id_col, text=text_col)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, ids array<int>, text string"
+    return map_batches(docs, _encoded(shared, also_text=True), schema, SLICE_BYTES)
+
+
 def model_path() -> str:
     """The public model file of the installation."""
     import public_tokenizers
@@ -262,7 +270,7 @@ def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """All documents encoded, and the digest of what their ids decode to."""
     model = model_path()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return decoded(encode(docs, model), model).select(
+    return round_trip(docs, model).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_ids"),
         "ids",

@@ -21,7 +21,7 @@ from telemill.llm.near_dedup import near_duplicates
 from telemill.llm.packing import boundaries, pack
 from telemill.llm.pii import personal_data
 from telemill.llm.secrets import redact, scan
-from telemill.llm.sentencepiece_bpe import Encoder, Pieces, decoded, encode, model_path
+from telemill.llm.sentencepiece_bpe import Encoder, Pieces, decoded, encode, model_path, round_trip
 from telemill.llm.substring_dedup import repeated_passages
 from telemill.llm.toxicity import ExampleIndex, score_toxicity
 from telemill.session import new_folder
@@ -167,6 +167,7 @@ def test_sentencepiece(spark):
     rows = decoded(encode(table(spark, texts), model_path()), model_path()).collect()
     assert {r.doc_id: r.ids for r in rows} == {i: library.encode(t or "") for i, t in enumerate(texts)}
     assert {r.doc_id: r.text for r in rows} == {i: t or "" for i, t in enumerate(texts)}
+    assert sorted(round_trip(table(spark, texts), model_path()).collect()) == sorted(rows)
     assert encode(table(spark, EMPTY), model_path()).count() == 0
 
 
