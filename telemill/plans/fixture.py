@@ -232,6 +232,20 @@ def damaged_log_payloads(base: DataFrame) -> DataFrame:
     return log_payloads(base).selectExpr("request", "ingest_ts", f"{_DAMAGE} as payload")
 
 
+# The same for metric requests: cut short, a number no double holds, a line end in a number, no metrics.
+_METRIC_DAMAGE = r"""case request % 6
+  when 1 then left(payload, length(payload) - 5)
+  when 2 then regexp_replace(payload, r'"asDouble":[-0-9.E]+', '"asDouble":1e400')
+  when 3 then regexp_replace(payload, r'"asInt":"(-?[0-9]+)"', r'"asInt":"$1\\n"')
+  when 4 then replace(payload, 'resourceMetrics', 'resourceSpans')
+  else payload end"""
+
+
+def damaged_metric_payloads(base: DataFrame) -> DataFrame:
+    """The metric requests, most of them damaged in some way."""
+    return metric_payloads(base).selectExpr("request", "ingest_ts", f"{_METRIC_DAMAGE} as payload")
+
+
 _POINT_ATTRIBUTES = "array<struct<key:string,value:struct<stringValue:string>>>"
 _POINT_LIST = (
     f"struct<dataPoints:array<struct<asInt:variant,asDouble:double,attributes:{_POINT_ATTRIBUTES}>>>"

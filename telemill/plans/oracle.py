@@ -224,6 +224,25 @@ _DETECTED = """, sightings as (
       select agent, min(timestamp) as first_seen from sightings group by agent
     )"""
 
+# The tables with one more agent.
+_FURTHER_TABLES = (
+    TABLES.replace(
+        "('run_shell_command', 'gemini_cli')",
+        "('run_shell_command', 'gemini_cli'), ('my_custom_tool', 'further_agent'), "
+        "('legacy_tool', 'further_agent')",
+    )
+    .replace(
+        "('qwen_code', 'Qwen Code', 3)",
+        "('qwen_code', 'Qwen Code', 3), ('further_agent', 'Further Agent', 4)",
+    )
+    .replace("'some-very-lo...', null", "'long', 'further_agent'")
+)
+
+_DETECTED_IN_ORDER = f"""{_DETECTED.format(calls='calls')}
+      select row_number() over (order by f.first_seen, n.priority) as position,
+        f.agent, n.agent_name, f.first_seen
+      from first_seen f join agent_names n on f.agent = n.agent"""
+
 _LOG_ROWS = f"""{TABLES}
     select id, timestamp, event_name, 'event ' || cast(id as varchar) as body, tool_name, success,
       duration_ms, decision, error, model, latency_ms
@@ -393,10 +412,8 @@ ORACLE: dict[str, str] = {
       select distinct r.model, n.short_model, n.agent, a.agent_name
       from requests r join model_names n on r.model = n.model
       left join agent_names a on n.agent = a.agent""",
-    "detected_agents": f"""{TABLES} {_DETECTED.format(calls='calls')}
-      select row_number() over (order by f.first_seen, n.priority) as position,
-        f.agent, n.agent_name, f.first_seen
-      from first_seen f join agent_names n on f.agent = n.agent""",
+    "detected_agents": f"{TABLES} {_DETECTED_IN_ORDER}",
+    "further_agent": f"{_FURTHER_TABLES} {_DETECTED_IN_ORDER}",
     "metric_prefix_agent": f"""{TABLES}
       select case when event_name like 'claude\\_code%' escape '\\' then 'claude_code'
           when event_name like 'codex%' then 'openai_codex'
@@ -417,6 +434,22 @@ ORACLE: dict[str, str] = {
         cast(sum(case when valid then 0 else 1 end) as bigint) as bad_payloads,
         cast(sum(case when valid and has_body then records else 0 end) as bigint) as bodies
       from judged group by valid""",
+    "quarantine_metric_counts": f"""{TABLES}, points as (
+        select 'token_usage' as kind, id from token_usage
+        union all select 'cost_usage', id from cost_usage
+        union all select 'session_metrics', id from session_metrics
+          where metric_name in ({_JSON_SESSION_NAMES})
+      ), judged as (
+        select id // 50 as request,
+          case id // 50 % 6 when 1 then true when 4 then true
+            when 2 then bool_or(event_type = 'purchase') when 3 then bool_or(id % 2 = 0)
+            else false end as bad
+        from (select event_id as id, event_type from ev) group by id // 50
+      )
+      select kind, count(*) as stored from points join judged on id // 50 = request
+      where not bad group by kind
+      union all
+      select 'bad_metric_payloads', count(*) from judged where bad""",
     "store_roundtrip": _report("calls", LAST_WEEK),
     "retention_prune": f"""{TABLES}
       select cast(timestamp as date) as event_date,
@@ -426,6 +459,7 @@ ORACLE: dict[str, str] = {
         count(*) as events
       from log_flat where timestamp >= timestamp '{LAST_WEEK}' group by 1, 2""",
     "stream_ingest_logs": _LOG_ROWS,
+    "stream_ingest_two_sources": _LOG_ROWS,
     "stream_ingest_metrics": _routed_rows(_JSON_SESSION_NAMES),
     "stream_tool_metrics": _report("logged_calls"),
     "stream_hourly_windows": _windows(60, [0]),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telemill.fixed_values import AGENTS, Agent, ModelRule
 from telemill.functions.names import with_model_names
 from telemill.functions.time_ranges import since_for
 from telemill.operators import agents, api, events, ordering, tools, usage
@@ -36,6 +37,16 @@ def shown(table: DataFrame) -> DataFrame:
     return table.select(*columns)
 
 
+# An agent that the package does not know.
+FURTHER_AGENT = Agent(
+    id="further_agent",
+    name="Further Agent",
+    metric_prefix="further",
+    tools=("my_custom_tool", "legacy_tool"),
+    model_rules=(ModelRule("long", all_of=("very-long",)),),
+)
+
+
 class Telemetry:
     """The derived tables of one data folder."""
 
@@ -137,6 +148,9 @@ BATCH: dict[str, Callable[[Telemetry], DataFrame]] = {
     ).select("model", "short_model", "agent", "agent_name"),
     # Agents
     "detected_agents": lambda t: agents.detected_agents(t.calls(), api.api_requests(t.log_events)),
+    "further_agent": lambda t: agents.detected_agents(
+        t.calls(), api.api_requests(t.log_events), (*AGENTS, FURTHER_AGENT)
+    ),
     "metric_prefix_agent": lambda t: agents.events_by_prefix_agent(t.log_events),
 }
 
@@ -190,6 +204,12 @@ def _payload_check(t: Telemetry) -> DataFrame:
     )
 
 
+def _metric_payload_check(t: Telemetry) -> DataFrame:
+    """Stored points per table, and bad payloads."""
+    rows = otlp.routed_points(otlp.metric_rows(fixture.damaged_metric_payloads(t.base)))
+    return rows.groupBy(F.col("table").alias("kind")).agg(F.count("*").alias("stored"))
+
+
 INGEST: dict[str, Callable[[Telemetry], DataFrame]] = {
     "ingest_logs_roundtrip": lambda t: _flat_log_rows(
         otlp.parse_logs(fixture.log_payloads(t.base))[0]
@@ -197,6 +217,7 @@ INGEST: dict[str, Callable[[Telemetry], DataFrame]] = {
     "ingest_metrics_roundtrip": _ingested_metrics("json"),
     "ingest_metrics_proto_profile": _ingested_metrics("proto"),
     "quarantine_counts": _payload_check,
+    "quarantine_metric_counts": _metric_payload_check,
 }
 
 
@@ -244,6 +265,24 @@ def stream_ingest_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(_flat_log_rows(tables.read(spark, f"{folder}/tables", "log_events")))
 
 
+def stream_ingest_two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log requests through two streams, each with its own checkpoint, into one table set."""
+    folder = new_folder(spark, "ingest-two")
+    payloads = fixture.log_payloads(fixture.base_events(spark, sf_dir))
+    for source in (0, 1):
+        payloads.where(F.col("request") % 2 == source).select("payload").write.text(
+            f"{folder}/in-{source}"
+        )
+        ingest.start_ingest(
+            ingest.payload_stream(spark, f"{folder}/in-{source}"),
+            f"{folder}/tables",
+            f"{folder}/checkpoint-{source}",
+            "logs",
+            availableNow=True,
+        ).awaitTermination()
+    return shown(_flat_log_rows(tables.read(spark, f"{folder}/tables", "log_events")))
+
+
 def stream_ingest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric requests from text files through the streaming ingest and back from disk."""
     folder = new_folder(spark, "ingest-metrics")
@@ -273,6 +312,7 @@ ON_DISK: dict[str, Query] = {
     "store_roundtrip": store_roundtrip,
     "retention_prune": retention_prune,
     "stream_ingest_logs": stream_ingest_logs,
+    "stream_ingest_two_sources": stream_ingest_two_sources,
     "stream_ingest_metrics": stream_ingest_metrics,
     "stream_tool_metrics": _live(live.stream_tool_metrics),
     "stream_hourly_windows": _live(live.stream_windows),
