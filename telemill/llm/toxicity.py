@@ -1,16 +1,17 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words, beginnings of words, and how often they occur. Terms that
-labelled examples show to go with toxicity are the features; their weights come
-from all documents. Examples lie in an inverted index whose blocks know their
-largest weight of each feature, so a search ends when no block that is left can
-hold a nearer example.
+Terms are all words of the examples, with how often they occur. Beginnings and
+numbers of words that labelled examples show to go with toxicity, the features,
+are further terms that weigh more. IDF comes from all documents. Examples lie
+in an inverted index, and a search adds up all postings of the terms of a text.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,9 @@ EXAMPLES = 2000
 FEATURES = 1024
 #: Chi-squared of a feature at least (one chance in a thousand), in this many toxic examples at least.
 LEAST_CHI2, LEAST_TOXIC = 10.83, 3
+#: A feature counts as so many times its IDF.
+BOOST = 8
 NEIGHBOURS = 15
-BLOCK = 64
-#: Blocks that a search scores together.
-AT_ONCE = 8
 #: Scores are calibrated on the examples in this many groups of equal size.
 GROUPS = 20
 CUT = 0.3
@@ -37,6 +37,8 @@ CUT = 0.3
 RATE_WORDS = 300
 LEVELS = 3
 REMEMBERED = 400_000
+#: Texts whose score a task remembers.
+REMEMBERED_TEXTS = 20_000
 
 _LETTERS = re.compile(r"[^\W\d_]{3,}")
 
@@ -94,85 +96,133 @@ def choose_features(examples: DataFrame) -> list[str]:
     ]
 
 
-def _featured(shared):
-    """Sorted features of each text."""
-    stem_levels: dict[str, dict[int, int]] = {}
-    known: dict[str, tuple[str, ...]] = {}
+def _example_words(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Distinct words of the texts of a batch."""
+    words = {w for text in batch["text"].to_pylist() for w in _LETTERS.findall((text or "").lower())}
+    return pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], names=["word"])
+
+
+class Vocabulary:
+    """Numbers of the features, then of all words of the examples."""
+
+    def __init__(self, features: list[str], words: list[str]):
+        self.size = len(features) + len(words)
+        self.features = len(features)
+        self.words = {w: len(features) + i for i, w in enumerate(words)}
+        self.levels: dict[str, dict[int, int]] = {}
+        for i, term in enumerate(features):
+            self.levels.setdefault(term[1:], {})[int(term[0])] = i
+        self.known: dict[str, tuple[int, tuple[str, ...]]] = {}
+
+    def terms(self, text: str | None) -> tuple[list[int], list[int], float]:
+        """Sorted terms of a text, how often each occurs, and the sum of squares of those no example has."""
+        words = _LETTERS.findall((text or "").lower())
+        stem_counts: Counter[str] = Counter()
+        found, rest = {}, 0.0
+        for word, count in Counter(words).items():
+            hit = self.known.get(word)
+            if hit is None:
+                if len(self.known) > REMEMBERED:
+                    self.known.clear()
+                hit = self.words.get(word, -1), tuple(s for s in stems(word) if s in self.levels)
+                self.known[word] = hit
+            if hit[0] < 0:
+                rest += 1.0 if count == 1 else (1 + math.log(count)) ** 2
+            else:
+                found[hit[0]] = count
+            for stem in hit[1]:
+                stem_counts[stem] += count
+        for stem, count in stem_counts.items():
+            level = _levels(count, len(words))
+            for at, i in self.levels[stem].items():
+                if at <= level:
+                    found[i] = 1
+        terms = sorted(found)
+        return terms, [found[t] for t in terms], rest
+
+
+def _termed(shared):
+    """Terms of each text."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not stem_levels:
-            for i, term in enumerate(shared.value):
-                stem_levels.setdefault(term[1:], {})[int(term[0])] = i
-        out = []
-        for text in batch["text"].to_pylist():
-            words = _LETTERS.findall((text or "").lower())
-            counts = Counter()
-            for word in words:
-                hits = known.get(word)
-                if hits is None:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    hits = known[word] = tuple(s for s in stems(word) if s in stem_levels)
-                if hits:
-                    counts.update(hits)
-            features = []
-            for stem, count in counts.items():
-                level = _levels(count, len(words))
-                features += [i for at, i in stem_levels[stem].items() if at <= level]
-            out.append(sorted(features))
+        out = [shared.value.terms(text) for text in batch["text"].to_pylist()]
         names = [n for n in batch.schema.names if n != "text"]
+        columns = [
+            pa.array([o[0] for o in out], pa.list_(pa.int32())),
+            pa.array([o[1] for o in out], pa.list_(pa.int32())),
+            pa.array([o[2] for o in out], pa.float64()),
+        ]
         return pa.RecordBatch.from_arrays(
-            [*[batch[n] for n in names], pa.array(out, pa.list_(pa.int32()))], names=[*names, "features"]
+            [*[batch[n] for n in names], *columns], names=[*names, "features", "counts", "rest"]
         )
 
     return make
 
 
+def _documents_with(size: int):
+    """In how many texts of a task each term is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        within = np.zeros(size, np.int64)
+        for batch in batches:
+            within += np.bincount(batch["features"].flatten().to_numpy(), minlength=size)
+        some = np.flatnonzero(within)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(within[some])], names=["term", "n"])
+
+    return run
+
+
 class ExampleIndex:
-    """Block-max inverted index of unit vectors over the examples that have a feature.
+    """Inverted index of unit vectors over the examples that have a term.
 
-    ``labels`` are 0 or 1, ``weights`` the rows that an example stands for. Of
-    each feature, postings (example and weight) are kept by block, and the
-    largest weight in each block.
+    ``rows`` are id, label (0 or 1) and terms of an example, and how often it
+    has each (once if left out); ``weights`` the rows that an example stands for.
     """
 
-    def __init__(self, rows: list[tuple[int, int, list[int]]], idf: np.ndarray, weights: tuple[float, float]):
-        rows = sorted((r for r in rows if r[2]), key=lambda r: (r[2], r[1], str(r[0])))  # like near like
+    def __init__(self, rows: list[tuple], idf: np.ndarray, weights: tuple[float, float]):
+        rows = sorted((r for r in rows if r[2]), key=lambda r: (r[2], r[1], str(r[0])))
         self.idf, self.weights = idf, weights
         self.ids, self.features = [r[0] for r in rows], [r[2] for r in rows]
+        self.counts = [r[3] if len(r) > 3 else None for r in rows]
         self.labels = np.array([r[1] for r in rows], np.int64)
-        self.blocks = -(-len(rows) // BLOCK)
-        # The postings of a feature by block; the numbers are bounded by the parameters above.
-        self.postings = np.zeros((len(idf), self.blocks, BLOCK))
-        for at, (_, _, features) in enumerate(rows):
-            self.postings[features, at // BLOCK, at % BLOCK] = self.vector(features)
-        self.largest = self.postings.max(axis=2, initial=0.0)
-
-    def vector(self, features: list[int]) -> np.ndarray:
+        terms = np.array([t for f in self.features for t in f], np.int64)
+        places = np.repeat(np.arange(len(rows)), [len(f) for f in self.features])
+        vectors = [self.vector(f, n) for f, n in zip(self.features, self.counts)]
+        order = np.argsort(terms, kind="stable")
+        self.places = places[order]
+        self.values = np.concatenate(vectors)[order] if vectors else np.zeros(0)
+        self.ends = np.cumsum(np.bincount(terms, minlength=len(idf))).tolist()
+
+    def vector(self, features: list[int], counts: list[int] | None = None, rest: float = 0.0) -> np.ndarray:
+        """Unit vector; ``rest`` is the sum of squares of the weights of terms that no example has."""
         weights = self.idf[features]
-        return weights / np.sqrt((weights**2).sum())
-
-    def nearest(self, features: list[int], count: int, without: int = -1) -> list[tuple[float, int]]:
+        if counts is not None:
+            weights = weights * (1 + np.log(counts))
+        return weights / np.sqrt((weights**2).sum() + rest)
+
+    def nearest(
+        self,
+        features: list[int],
+        count: int,
+        without: int = -1,
+        counts: list[int] | None = None,
+        rest: float = 0.0,
+    ) -> list[tuple[float, int]]:
         """The ``count`` nearest examples as (cosine, place), nearest first; equal ones by place."""
-        query = self.vector(features)
-        bound = query @ self.largest[features]
-        order = np.argsort(-bound, kind="stable")
-        scores, places, least = np.zeros(0), np.zeros(0, np.int64), -1.0
-        for start in range(0, self.blocks, AT_ONCE):
-            # A tie goes to the lower place, so blocks of an equal bound have to be looked at.
-            blocks = order[start : start + AT_ONCE]
-            blocks = blocks[(bound[blocks] > 0) & (bound[blocks] >= least - 1e-9)]
-            if not len(blocks):
-                break
-            score = np.tensordot(query, self.postings[np.ix_(features, blocks)], axes=1).round(12)
-            place = blocks[:, None] * BLOCK + np.arange(BLOCK)
-            some = (score > 0) & (place != without)
-            scores = np.concatenate((scores, score[some]))
-            places = np.concatenate((places, place[some]))
-            first = np.lexsort((places, -scores))[:count]
-            scores, places = scores[first], places[first]
-            least = scores[-1] if len(scores) == count else -1.0
-        return list(zip(scores.tolist(), places.tolist()))
+        if not len(self.ids):
+            return []
+        query = self.vector(features, counts, rest)
+        cuts = [slice(self.ends[f - 1] if f else 0, self.ends[f]) for f in features]
+        weights = np.concatenate([self.values[c] for c in cuts])
+        weights *= np.repeat(query, [c.stop - c.start for c in cuts])
+        places = np.concatenate([self.places[c] for c in cuts])
+        scores = np.bincount(places, weights=weights, minlength=len(self.ids)).round(12)
+        if without >= 0:
+            scores[without] = 0.0
+        least = np.partition(scores, -count)[-count] if len(scores) > count else 0.0
+        places = np.flatnonzero((scores >= least) & (scores > 0))
+        first = places[np.lexsort((places, -scores[places]))[:count]]
+        return list(zip(scores[first].tolist(), first.tolist()))
 
     def vote(self, best: list[tuple[float, int]]) -> float:
         """Share of toxicity among the nearest, by their cosine and the rows they stand for."""
@@ -200,19 +250,20 @@ def calibrate(votes: list[float], labels: list[int], weights: list[float]) -> tu
 
 
 class Model:
-    """Index, calibration, and the score of texts without a feature; bounded by the parameters above."""
+    """Index, calibration, and the score of texts that share no term with an example."""
 
-    def __init__(self, rows: list[tuple[int, int, list[int]]], idf: np.ndarray, classes: dict[int, int]):
+    def __init__(self, rows: list[tuple], idf: np.ndarray, rarest: float, classes: dict[int, int]):
         size = Counter(r[1] for r in rows)
         weights = tuple(classes.get(c, 0) / max(size[c], 1) for c in (0, 1))
         empty = [0.5 * weights[r[1]] if not r[2] else 0.0 for r in rows]
         toxic = sum(w for w, r in zip(empty, rows) if r[1])
         self.without = toxic / sum(empty) if sum(empty) else 0.0
+        self.rarest = rarest
         self.index = ExampleIndex(rows, idf, weights)
         self.line = ([0.0], [self.without])
         votes, labels, own = [], [], []
-        for place, features in enumerate(self.index.features):
-            best = self.index.nearest(features, NEIGHBOURS, without=place)
+        for place, (features, counts) in enumerate(zip(self.index.features, self.index.counts)):
+            best = self.index.nearest(features, NEIGHBOURS, place, counts)
             if best:
                 votes.append(self.index.vote(best))
                 labels.append(int(self.index.labels[place]))
@@ -220,9 +271,10 @@ class Model:
         if votes:
             self.line = calibrate(votes, labels, own)
 
-    def score(self, features: list[int]) -> tuple[float, list[int], list[float]]:
+    def score(self, features: list[int], counts: list[int], rest: float) -> tuple[float, list[int], list[float]]:
         """Calibrated score, and the three nearest examples with their cosines."""
-        best = self.index.nearest(features, NEIGHBOURS) if features else []
+        rest *= self.rarest**2
+        best = self.index.nearest(features, NEIGHBOURS, -1, counts, rest) if features else []
         if not best:
             return self.without, [], []
         score = float(np.interp(self.index.vote(best), *self.line))
@@ -230,23 +282,22 @@ class Model:
 
 
 def _scored(shared):
-    known: dict[tuple[int, ...], tuple] = {}
+    known: dict[tuple[int, int], tuple] = {}
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for features in batch["features"].to_pylist():
-            key = tuple(features)
-            if key not in known:
-                if len(known) > REMEMBERED:
+        for k1, k2, *terms in zip(*[batch[n].to_pylist() for n in ("k1", "k2", "features", "counts", "rest")]):
+            if (k1, k2) not in known:
+                if len(known) > REMEMBERED_TEXTS:
                     known.clear()
-                known[key] = shared.value.score(features)
-            out.append(known[key])
-        names = [n for n in batch.schema.names if n != "features"]
+                known[k1, k2] = shared.value.score(*terms)
+            out.append(known[k1, k2])
         columns = [
             pa.array([o[0] for o in out], pa.float64()),
             pa.array([o[1] for o in out], pa.list_(pa.int64())),
             pa.array([o[2] for o in out], pa.list_(pa.float64())),
         ]
+        names = ["doc_id", "k1", "k2"]
         return pa.RecordBatch.from_arrays(
             [*[batch[n] for n in names], *columns], names=[*names, "score", "evidence", "cosines"]
         )
@@ -266,9 +317,12 @@ def score_toxicity(
 
     ``k1, k2`` name the text by its content. At most ``EXAMPLES`` labelled texts
     of each class, of rows for which ``learn`` holds (over ``doc_id``), are the
-    examples; everything else is counted over all documents. A score depends on
-    nothing but the text. Texts without a feature, null and empty ones among
-    them, get the share of toxic rows among such examples; without labels of
+    examples, all of whose words are terms; everything else is counted over all
+    documents. Words that no example has cannot change which examples are
+    nearest; in the length of a text each counts as a word of one document. A
+    score depends on nothing but the text. Texts that share no term with an
+    example, null and empty ones among them, have no neighbour and get the
+    share of toxic rows among examples without a word; without labels of
     both classes every score is that of the examples there are, or 0. Labels
     other than 0 and 1, and null ids, are not learned from; rows may repeat;
     other columns are not looked at.
@@ -294,22 +348,24 @@ def score_toxicity(
     examples = stored(examples, "examples")
     features = choose_features(examples.select("text", "toxic"))
 
-    names = spark.sparkContext.broadcast(features)
-    featured = stored(
-        map_batches(docs, _featured(names), "doc_id bigint, k1 bigint, k2 bigint, features array<int>"),
-        "features",
-    )
+    words = map_batches(examples.select("text"), _example_words, "word string").distinct()
+    vocabulary = Vocabulary(features, sorted(r["word"] for r in words.collect()))
+    shared = spark.sparkContext.broadcast(vocabulary)
+    termed = "features array<int>, counts array<int>, rest double"
+    featured = stored(map_batches(docs, _termed(shared), f"doc_id bigint, k1 bigint, k2 bigint, {termed}"), "features")
     total = featured.count()
-    within = np.zeros(len(features))
-    for row in featured.select(F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("n")).collect():
-        within[row["f"]] = row["n"]
+    within = np.zeros(vocabulary.size)
+    counted = featured.select("features").mapInArrow(_documents_with(vocabulary.size), "term bigint, n bigint")
+    counted = counted.groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    within[counted["term"]] = counted["n"]
     idf = 1 + np.log((1 + total) / (1 + within))
-    rows = map_batches(examples.select("doc_id", "toxic", "text"), _featured(names), "doc_id bigint, toxic int, features array<int>")
-    model = Model([(r["doc_id"], r["toxic"], r["features"]) for r in rows.collect()], idf, classes)
-    shared = spark.sparkContext.broadcast(model)
+    idf[: vocabulary.features] *= BOOST
+    rows = map_batches(examples.select("doc_id", "toxic", "text"), _termed(shared), f"doc_id bigint, toxic int, {termed}")
+    rows = [(r["doc_id"], r["toxic"], r["features"], r["counts"]) for r in rows.collect()]
+    model = spark.sparkContext.broadcast(Model(rows, idf, 1 + math.log((1 + total) / 2), classes))
     scored = whole_batches(
         featured,
-        _scored(shared),
+        _scored(model),
         "doc_id bigint, k1 bigint, k2 bigint, score double, evidence array<bigint>, cosines array<double>",
     )
     return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))

@@ -149,6 +149,18 @@ def test_toxicity(spark):
     assert score_toxicity(table(spark, EMPTY), labels, F.lit(True)).count() == 0
 
 
+def test_toxicity_without_features(spark):
+    texts, labels = toxic_table(spark)
+    texts[4] = "xylopt quandrel vermosk tiddlewort"  # a toxic example whose words are in no other
+    texts += ["Xylopt quandrel vermosk tiddlewort", "quandrel and nothing else known", "zzyzzx"]
+    got = {r.doc_id: r for r in score_toxicity(table(spark, texts), labels, F.lit(True)).collect()}
+    for i in (4, 164):
+        assert got[i].evidence[0] == 4 and got[i].cosines[0] == pytest.approx(1) and got[i].predicted == 1
+    assert 4 in got[165].evidence and 0 < got[165].cosines[0] < 1
+    assert got[166].evidence == []
+    assert all(got[i].evidence for i in range(160))
+
+
 def test_nearest_is_exact():
     rows = [(i, i % 2, sorted(R.sample(range(40), R.randint(0, 6)))) for i in range(400)]
     index = ExampleIndex(rows, np.linspace(1, 4, 40), (1.0, 1.0))
