@@ -1,9 +1,8 @@
 """Personal data: fixed patterns, and terms that give them away. DataFrame functions only.
 
-A term that stands near a protected value discloses it as far as it lowers the
-surprise of the value, which corpus co-occurrence estimates: with n texts, of
-which n(e) hold the value, n(t) the term and n(e, t) the term near the value,
-PMI = log(n n(e, t) / (n(e) n(t))), and the value alone has log(n / n(e)).
+A term that stands in a text with a protected value discloses it as far as it
+lowers the surprise of the value, which corpus co-occurrence estimates: with n
+texts, of which n(e) hold the value, n(t) the term and n(e, t) both, PMI = log(n n(e, t) / (n(e) n(t))), and the value alone has log(n / n(e)).
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm.spans import SPAN, counted, joined, matches, replaced
+from telemill.llm.spans import SPAN, blanked, counted, joined, matches, replaced
 from telemill.llm.words import plain
 from telemill.session import stored
 
@@ -22,9 +21,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"\p{L}{4,}+"
 KINDS = ("email", "ip", "card", "phone")
 LABELS = [*[(kind, f"[{kind.upper()}]") for kind in KINDS], ("term", "[TERM]")]
-#: Characters on either side of a value in which terms count as near.
-NEAR = 80
-#: Texts that have to show a term near a value.
+#: Texts that have to show a term and a value together.
 SUPPORT = 3
 #: Share of a value's information that a term may not disclose.
 DISCLOSURE = 0.8
@@ -60,80 +57,64 @@ def base_spans(text: Column) -> list[Column]:
     ]
 
 
-def _near_terms(found: DataFrame) -> DataFrame:
-    """Terms around each value: ``k1, k2, copies, entity, term, start, end``."""
-    values = found.select("k1", "k2", "copies", "text", F.explode("base").alias("s"))
-    low = F.greatest(F.col("s.start") - NEAR, F.lit(0))
-    sides = F.array(
-        F.struct(low.alias("at"), F.substr("text", low + 1, F.col("s.start") - low).alias("part")),
-        F.struct(F.col("s.end").alias("at"), F.substr("text", F.col("s.end") + 1, F.lit(NEAR)).alias("part")),
-    )
-    sides = values.select(
-        "k1", "k2", "copies", F.concat_ws(":", "s.kind", "s.value").alias("entity"), F.explode(sides).alias("side")
-    )
-    terms = matches(F.col("side.part"), TERM, "term", len(KINDS), lambda value: F.lit(True))
-    rows = sides.select("k1", "k2", "copies", "entity", "side.at", F.explode(terms).alias("t"))
-    return rows.select(
-        "k1",
-        "k2",
-        "copies",
-        "entity",
-        F.lower("t.value").alias("term"),
-        (F.col("at") + F.col("t.start")).alias("start"),
-        (F.col("at") + F.col("t.end")).alias("end"),
+def _words(text: Column) -> Column:
+    """Hashes of the different terms of a text."""
+    return F.array_distinct(
+        F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(F.lower(w)))
     )
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Spans of the terms that disclose a value near them: ``k1, k2, terms``.
+def disclosing_terms(found: DataFrame, once: DataFrame) -> DataFrame:
+    """The terms that disclose a value, as hashes: ``word``.
 
-    ``docs`` has all texts, ``found`` one of each text with protected values and
-    the number of its copies. Counts are of documents, and cover all of them;
-    copies do not add to the support. Counts are combined before their shuffle,
-    and words travel as hashes.
+    ``found`` has the ``words`` of all texts, ``once`` one of each text with
+    protected values and the number of its copies. Counts are of whole
+    documents, and cover all of them; copies do not add to the support. Counts
+    are combined before their shuffle, and words travel as hashes.
     """
-    near = stored(_near_terms(found), "near")
+    total = found.count()
+    entity = F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"]))
+    held = once.select("k1", "k2", "copies", F.explode(F.array_distinct(entity)).alias("entity"))
+    n_entity = held.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_entity"))
+    n_entity = stored(n_entity.where(F.col("texts") >= SUPPORT).drop("texts"), "entities")
+    # No more texts can hold both than hold the value; a term of too many others cannot tell it.
+    bound = F.pow("n_entity", F.lit(DISCLOSURE)) * F.pow(F.lit(float(total)), F.lit(1 - DISCLOSURE)) + 1
+    most = n_entity.agg(F.max(bound).alias("most")).first()["most"] or 0.0
+    n_term = found.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n_term"))
+    n_term = stored(n_term.where(F.col("n_term").between(SUPPORT, most)), "terms")
+    held = stored(held.join(n_entity, "entity"), "held")
+    with_entity = once.join(held.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
+    words = with_entity.select("k1", "k2", F.explode("words").alias("word")).join(n_term, "word")
     together = (
-        near.select("k1", "k2", "copies", "entity", "term")
-        .distinct()
-        .groupBy("entity", "term")
+        words.join(held, ["k1", "k2"])
+        .where(F.col("n_term") <= bound)
+        .groupBy("entity", "word", "n_term", "n_entity")
         .agg(F.count("*").alias("texts"), F.sum("copies").alias("n_both"))
         .where(F.col("texts") >= SUPPORT)
-        .withColumn("word", F.xxhash64("term"))
-    )
-    together = stored(together, "together")
-    n_entity = (
-        found.select("k1", "k2", "copies", F.explode("base").alias("s"))
-        .select("k1", "k2", "copies", F.concat_ws(":", "s.kind", "s.value").alias("entity"))
-        .distinct()
-        .groupBy("entity")
-        .agg(F.sum("copies").alias("n_entity"))
     )
-    words = F.transform(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(w))
-    n_term = (
-        docs.select(F.explode(F.array_distinct(words)).alias("word"))
-        .groupBy("word")
-        .agg(F.count("*").alias("n_term"))
-    )
-    total = docs.count()
     # PMI >= DISCLOSURE * information of the value, without the common parts.
     telling = F.log(F.col("n_both") / F.col("n_term")) >= (DISCLOSURE - 1) * F.log(total / F.col("n_entity"))
-    flagged = (
-        together.join(n_entity, "entity").join(n_term, "word").where(telling).select("entity", "term")
-    )
-    span = F.struct(
-        F.col("start").alias("start"),
-        F.lit(len(KINDS)).alias("rank"),
-        F.lit("term").alias("kind"),
-        F.col("end").alias("end"),
-        F.col("term").alias("value"),
-    )
-    return (
-        near.join(stored(flagged, "flagged"), ["entity", "term"])
-        .select("k1", "k2", span.alias("span"))
+    return together.where(telling).select("word").distinct()
+
+
+def term_spans(docs: DataFrame, found: DataFrame, once: DataFrame, flagged: DataFrame) -> DataFrame:
+    """Spans of the flagged terms outside the values, in all texts: ``k1, k2, terms``."""
+    marks = (
+        found.select("k1", "k2", F.explode("words").alias("word"))
+        .join(flagged, "word", "left_semi")
         .groupBy("k1", "k2")
-        .agg(F.collect_set("span").cast(SPAN).alias("terms"))
+        .agg(F.collect_set("word").alias("marks"))
+    )
+    marks = stored(marks.join(once.select("k1", "k2", "base"), ["k1", "k2"], "left"), "marks")
+    texts = docs.select("k1", "k2", "text").join(marks, ["k1", "k2"])
+    texts = texts.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in ("text", "marks", "base")])
+    free = F.when(F.col("base").isNotNull(), blanked(F.col("text"), F.col("base"))).otherwise(F.col("text"))
+    # Written first, since a pattern looks at its text more than once.
+    texts = stored(texts.select("k1", "k2", "marks", free.alias("free")), "free")
+    terms = matches(
+        F.col("free"), TERM, "term", len(KINDS), lambda value: F.array_contains(F.col("marks"), F.xxhash64(F.lower(value)))
     )
+    return texts.select("k1", "k2", terms.alias("terms"))
 
 
 def personal_data(
@@ -142,9 +123,10 @@ def personal_data(
     """Personal data of each text: ``doc_id``, counts and spans; a row for each row.
 
     The values of the fixed patterns are the protected entities. A term of four
-    or more letters near a value is a span of kind ``term`` if at least
-    ``SUPPORT`` different texts show it there and it discloses ``DISCLOSURE``
-    of the value's information; it is marked where it stands near that value.
+    or more letters is a span of kind ``term`` if at least ``SUPPORT``
+    different texts hold it, anywhere, with a value, and it discloses
+    ``DISCLOSURE`` of the value's information; it is marked wherever it stands
+    outside a value, also in texts without one.
     With ``with_text``, ``clean_text`` has each value replaced by its kind and
     each term by a mark; a null text counts as empty.
 
@@ -156,20 +138,20 @@ def personal_data(
         .withColumn("text", F.coalesce("text", F.lit("")))
         .withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(7), "text")})
     )
-    # Only texts with values are kept beside their counts; the others stay where they are.
+    # Texts stay where they are; their values and words are kept.
     base = docs.withColumn("base", F.concat(*base_spans(F.col("text"))))
     has = F.size("base") > 0
-    found = stored(
-        base.select("doc_id", "k1", "k2", "base", F.when(has, F.col("text")).alias("text")), "values"
-    )
+    base = base.withColumn("words", _words(F.when(has, blanked(F.col("text"), F.col("base"))).otherwise(F.col("text"))))
+    found = stored(base.drop("text"), "values")
     once = stored(
         found.where(has)
         .groupBy("k1", "k2")
-        .agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count("*").alias("copies")),
+        .agg(F.first("words").alias("words"), F.first("base").alias("base"), F.count("*").alias("copies")),
         "protected",
     )
-    terms = disclosing_terms(docs.select("text"), once)
-    rows = found.join(stored(terms, "terms"), ["k1", "k2"], "left")
+    terms = term_spans(docs, found, once, stored(disclosing_terms(found, once), "flagged"))
+    rows = found.drop("words").join(stored(terms, "term_spans"), ["k1", "k2"], "left")
+
     def of_kind(kind: str) -> Column:
         return F.sort_array(F.filter("base", lambda s: s["kind"] == kind))
 
@@ -184,10 +166,9 @@ def personal_data(
     ]
     if not with_text:
         return rows.select(*columns)
-    cleaned = rows.where(has).select("k1", "k2", replaced(F.col("text"), F.col("_all"), LABELS).alias("clean_text"))
-    cleaned = cleaned.groupBy("k1", "k2").agg(F.first("clean_text").alias("clean_text"))
-    texts = docs.groupBy("k1", "k2").agg(F.first("text").alias("_whole")).join(cleaned, ["k1", "k2"], "left")
-    return rows.join(texts, ["k1", "k2"]).select(*columns, F.coalesce("clean_text", "_whole").alias("clean_text"))
+    texts = docs.groupBy("k1", "k2").agg(F.first("text").alias("_whole"))
+    clean = replaced(F.col("_whole"), F.col("_all"), LABELS)
+    return rows.join(texts, ["k1", "k2"]).select(*columns, clean.alias("clean_text"))
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:

@@ -58,6 +58,28 @@ def outside(spans: Column, others: Column) -> Column:
     )
 
 
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of the spans, so that all offsets stay; spans may overlap."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        begin = F.greatest(state["at"], s["start"])
+        gap = F.substr(text, state["at"] + 1, begin - state["at"])
+        piece = F.concat(state["out"], gap, F.repeat(F.lit(" "), s["end"] - begin))
+        return F.struct(
+            F.greatest(state["at"], s["end"]).alias("at"),
+            F.when(s["end"] > state["at"], piece).otherwise(state["out"]).alias("out"),
+        )
+
+    done = F.aggregate(
+        F.sort_array(spans),
+        start,
+        step,
+        lambda state: F.concat(state["out"], F.substr(text, state["at"] + 1, F.length(text))),
+    )
+    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
 def replaced(text: Column, spans: Column, labels: Sequence[tuple[str, str]]) -> Column:
     """The text with each span, in order of their start, replaced by the label of its kind."""
     label = F.create_map(*[F.lit(x) for pair in labels for x in pair])

@@ -231,6 +231,17 @@ def test_personal_data(spark):
     assert personal_data(table(spark, EMPTY)).count() == 0
 
 
+def test_personal_data_of_whole_documents(spark):
+    texts = [f"zebulonia {'a bc ' * 40}{prose(i + 2)} me@there.org" for i in range(4)]
+    texts += ["of Zebulonia, without any value", "nothing to see", "there is no org", *[prose(9) for _ in range(30)]]
+    rows = {r.doc_id: r for r in personal_data(table(spark, texts), with_text=True).collect()}
+    for i in range(4):
+        assert rows[i].spans.split(",")[1] == "term:0:9"
+        assert rows[i].clean_text.startswith("[TERM] a bc") and rows[i].clean_text.endswith(" [EMAIL]")
+    assert rows[4].spans == "term:3:12" and rows[4].clean_text == "of [TERM], without any value"
+    assert rows[5].spans == rows[6].spans == "" and rows[6].clean_text == texts[6]
+
+
 def test_language(spark):
     docs = [("der hund und die katze im haus", "de"), ("the dog and the cat in the house", "en")] * 20
     texts = [f"{t} {prose(2)}" for t, _ in docs] + [None, "", "123 !!", "und die katze der frau"]
