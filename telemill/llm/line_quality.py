@@ -79,13 +79,12 @@ def quality_rules(
     text_col: str = "text",
     host_col: str = "source",
     at_least: int = 10,
-    share: float = 0.02,
     left: float = 0.5,
 ) -> DataFrame:
     """Base counts and the verdict of the line rule; a row for each row.
 
-    A line is removed where more than ``at_least`` and more than ``share`` of
-    the different texts of its host have it. A document is rejected if the base
+    A line is removed where more than ``at_least`` different texts of its host
+    have it, however many texts the host has. A document is rejected if the base
     rules fail (under 20 words, or over 30 % of them in repeated 8-word
     windows), or if its distinct lines keep less than ``left`` of their words.
 
@@ -116,11 +115,8 @@ def quality_rules(
     lines = stored(
         texts.select(*text_key, F.explode("lines").alias("l")).select(*text_key, "l.line", "l.words"), "lines"
     )
-    hosts = rows.select(*text_key).distinct().groupBy("host").agg(F.count("*").alias("texts"))
     common = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > at_least)
-    common = stored(
-        common.join(hosts, "host").where(F.col("n") > share * F.col("texts")).select("host", "line"), "common"
-    )
+    common = stored(common.select("host", "line"), "common")
     lost = lines.join(common, ["host", "line"]).groupBy(*text_key).agg(F.sum("words").alias("lost_words"))
     lost = stored(lost, "lost")
     total = F.aggregate("lines", F.lit(0), lambda s, x: s + x["words"])

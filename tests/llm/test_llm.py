@@ -104,6 +104,13 @@ def test_quality(spark):
     assert quality_rules(table(spark, EMPTY)).count() == 0
 
 
+def test_common_lines_of_a_large_host(spark):
+    texts = [f"{'a banner of some documents\n' if i < 12 else ''}{i} {prose(30)}" for i in range(1300)]
+    texts += [f"a rare banner of few\n{i} {prose(30)}" for i in range(10)]
+    got = {r.doc_id: r.n_line_words_removed for r in quality_rules(table(spark, texts), host_col="k1").collect()}
+    assert [got[i] for i in range(12)] == [5] * 12 and not any(got[i] for i in range(12, 1310))
+
+
 def test_exact_dedup(spark):
     texts = awkward()
     index = DigestIndex(spark, new_folder(spark, "test-index"), buckets=4)
