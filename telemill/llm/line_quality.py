@@ -73,6 +73,16 @@ def line_hashes(text: Column) -> Column:
     )
 
 
+def without_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines of these hashes, wherever they stand; the others stay as they are."""
+
+    def named(x: Column) -> Column:
+        return F.xxhash64(F.btrim(F.regexp_replace(F.lower(x), r"[\x20\x09\x0B-\x0D]+", " ")))
+
+    left = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(gone, named(x)))
+    return F.when(F.size(gone) > 0, F.array_join(left, "\n")).otherwise(text)
+
+
 def quality_rules(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -80,6 +90,7 @@ def quality_rules(
     host_col: str = "source",
     at_least: int = 10,
     left: float = 0.5,
+    with_text: bool = False,
 ) -> DataFrame:
     """Base counts and the verdict of the line rule; a row for each row.
 
@@ -88,6 +99,9 @@ def quality_rules(
     rules fail (under 20 words, or over 30 % of them in repeated 8-word
     windows), or if its distinct lines keep less than ``left`` of their words.
 
+    With ``with_text``, ``clean_text`` is the text without the removed lines,
+    also where the document is rejected; a null text counts as empty.
+
     Copies of one text count once for a host, so a text is not rejected for
     having been copied. A null text counts as empty and fails; rows without a
     host form a host of their own; ids may be null or repeated, since texts
@@ -117,13 +131,21 @@ def quality_rules(
     )
     common = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > at_least)
     common = stored(common.select("host", "line"), "common")
-    lost = lines.join(common, ["host", "line"]).groupBy(*text_key).agg(F.sum("words").alias("lost_words"))
+    lost = lines.join(common, ["host", "line"]).groupBy(*text_key).agg(
+        F.sum("words").alias("lost_words"), *([F.collect_set("line").alias("gone")] if with_text else [])
+    )
     lost = stored(lost, "lost")
     total = F.aggregate("lines", F.lit(0), lambda s, x: s + x["words"])
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    rows = rows.withColumn("line_words", total).join(lost, text_key, "left")
+    clean = []
+    if with_text:
+        whole = docs.groupBy(*text_key).agg(F.first("text").alias("whole"))
+        rows = rows.join(whole, text_key)
+        gone = F.coalesce("gone", F.array().cast("array<bigint>"))
+        clean = [without_lines(F.col("whole"), gone).alias("clean_text")]
     return (
-        rows.withColumn("line_words", total)
-        .join(lost, text_key, "left")
+        rows
         .withColumn("n_line_words_removed", F.coalesce("lost_words", F.lit(0)))
         .select(
             "doc_id",
@@ -137,6 +159,7 @@ def quality_rules(
                 "kept"
             ),
             "n_line_words_removed",
+            *clean,
         )
     )
 

@@ -124,8 +124,8 @@ def _window_hashes(words: np.ndarray, first: np.ndarray, window: int, seed: int)
     return mix(value)
 
 
-def _digest(words: Words, mask: np.ndarray | None = None) -> list[str]:
-    """SHA-256 of each text's words (those of the mask), joined by one space."""
+def _joined(words: Words, mask: np.ndarray | None = None) -> list[bytes]:
+    """Each text's words (those of the mask), joined by one space."""
     out = []
     ends = np.cumsum(words.counts)
     for start, end in zip(ends - words.counts, ends):
@@ -133,15 +133,19 @@ def _digest(words: Words, mask: np.ndarray | None = None) -> list[str]:
         if mask is not None:
             begin, stop = begin[mask[start:end]], stop[mask[start:end]]
         if not len(begin):
-            out.append(hashlib.sha256().hexdigest())
+            out.append(b"")
             continue
         # Consecutive words that one space parts are taken in one piece.
         cut = np.flatnonzero((begin[1:] != stop[:-1] + 1) | (words.data[stop[:-1]] != 0x20)) + 1
         pieces = zip(begin[np.append(0, cut)], stop[np.append(cut - 1, len(stop) - 1)])
-        out.append(hashlib.sha256(b" ".join(words.slice(a, b) for a, b in pieces)).hexdigest())
+        out.append(b" ".join(words.slice(a, b) for a, b in pieces))
     return out
 
 
+def _digest(texts: list[bytes]) -> list[str]:
+    return [hashlib.sha256(text).hexdigest() for text in texts]
+
+
 def _parsed(window: int):
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = Words(batch["text"])
@@ -157,7 +161,7 @@ def _parsed(window: int):
             [
                 *[batch[name] for name in ("doc_id", "k1", "k2")],
                 pa.array(words.counts.astype(np.int64)),
-                pa.array(_digest(words)),
+                pa.array(_digest(_joined(words))),
                 pa.array(none > 0),
                 lists(signed(parse.keys[used]), per_text, pa.int64()),
             ],
@@ -197,7 +201,7 @@ def _candidates(window: int):
     return make
 
 
-def _without(window: int):
+def _without(window: int, with_text: bool = False):
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = Words(batch["text"])
         places = batch["places"]
@@ -210,7 +214,12 @@ def _without(window: int):
         removed = np.add.reduceat(np.append(~kept, False), starts_of(words.counts), dtype=np.int64)
         removed = np.where(words.counts > 0, removed, 0)
         return pa.RecordBatch.from_arrays(
-            [batch["k1"], batch["k2"], pa.array(removed), pa.array(_digest(words, kept))],
+            [
+                batch["k1"],
+                batch["k2"],
+                pa.array(removed),
+                pa.array(_joined(words, kept)).cast(pa.string()) if with_text else pa.array(_digest(_joined(words, kept))),
+            ],
             names=["k1", "k2", "removed", "rest"],
         )
 
@@ -218,7 +227,7 @@ def _without(window: int):
 
 
 def repeated_passages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, with_text: bool = False
 ) -> DataFrame:
     """What is left of each text without repeated passages: ``doc_id, n_words, n_removed, kept_sha256``.
 
@@ -229,6 +238,9 @@ def repeated_passages(
     ids may be null or repeated, since texts are told apart by their content.
     Other columns are not looked at. An empty table gives an empty result.
 
+    With ``with_text``, ``kept_text`` has the words that stay, joined by one
+    space, and ``kept_sha256`` is taken from it.
+
     Joins are on the content of a text, a symbol or a window: very frequent
     ones are combined before the shuffle of their counts, and split by adaptive
     execution in the joins that carry them back.
@@ -279,17 +291,29 @@ def repeated_passages(
         .groupBy("k1", "k2")
         .agg(F.collect_list("place").alias("places"))
     )
+    parts = suspects.select("k1", "k2", "text").join(places, ["k1", "k2"])
+    if with_text:
+        once = docs.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+        parts = once.join(places, ["k1", "k2"], "left").withColumn(
+            "places", F.coalesce("places", F.array().cast("array<int>"))
+        )
     less = map_batches(
-        suspects.select("k1", "k2", "text").join(places, ["k1", "k2"]),
-        _without(window),
+        parts,
+        _without(window, with_text),
         "k1 bigint, k2 bigint, removed bigint, rest string",
     )
     result = copies.join(less, ["k1", "k2"], "left")
     whole = (F.col("copies") > 1) & (F.col("n_words") >= window)
+    removed = F.when(whole, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed")
+    if with_text:
+        text = F.when(whole, F.lit("")).otherwise(F.col("rest"))
+        return parsed.join(result, ["k1", "k2"]).select(
+            "doc_id", "n_words", removed, F.sha2(text, 256).alias("kept_sha256"), text.alias("kept_text")
+        )
     return parsed.join(result, ["k1", "k2"]).select(
         "doc_id",
         "n_words",
-        F.when(whole, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
+        removed,
         F.when(whole, F.sha2(F.lit(""), 256))
         .otherwise(F.coalesce("rest", "digest"))
         .alias("kept_sha256"),

@@ -87,6 +87,24 @@ def test_repeated_passages(spark):
     assert repeated_passages(table(spark, texts[:9], [None] * 9)).count() == 9
 
 
+def test_text_without_repeated_passages(spark):
+    texts = awkward()
+    got = repeated_passages(table(spark, texts), with_text=True).collect()
+    expected = brute.without_repeats(texts)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == dict(enumerate(expected))
+    assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got)
+    assert any(0 < r.n_removed < r.n_words and r.kept_text for r in got)
+
+
+def test_text_without_common_lines(spark):
+    texts = [f"{i} {prose(30)}".replace("\n", " ") for i in range(12)]
+    rows = [f"First\n A  common\tLINE \n{t}\n\nend {i}\na common line" for i, t in enumerate(texts)] + [None, "a common line\n"]
+    got = {r.doc_id: r for r in quality_rules(table(spark, rows), host_col="k1", with_text=True).collect()}
+    assert all(got[i].clean_text == f"{t}\n\nend {i}" for i, t in enumerate(texts))
+    assert got[12].clean_text == "" and got[13].clean_text == ""
+    assert all(got[i].n_line_words_removed == 4 for i in range(12))
+
+
 def test_quality(spark):
     common = "one line that all of these documents have in common"
     texts = awkward() + [f"{common}\n{prose(30)}" for _ in range(20)] + [f"{common} {i % 1}\n" * 1 for i in range(3)]
