@@ -7,16 +7,23 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm.spans import counted, joined, matches, outside, replaced
+from telemill.llm.spans import blanked, counted, joined, matches, outside, replaced
 from telemill.llm.words import plain
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Z0-9+/_.=-]++)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"
-#: Whole runs of the alphabet with a letter and a digit.
+#: Whole runs of the alphabet with a letter.
+RUN = r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{12,}+"
+#: Parts with a letter that a slash, dash, underscore or equals sign separates from the rest of their run.
+PART = (
+    r"(?<![A-Za-z0-9+])(?=[0-9+]*+[A-Za-z])"
+    r"(?:(?<=[/_=-])[A-Za-z0-9+]{12,}+|[A-Za-z0-9+]{12,}+(?=[/_=-]))"
+)
+#: Runs with a letter and a digit, which are not taken for ordinary identifiers.
 TOKEN = (
-    r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,}+"
+    r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{12,}+"
 )
 #: Samples of a class that the models are trained on, at most, chosen by hash.
 SAMPLES = 20000
@@ -58,7 +65,7 @@ def train(docs: DataFrame) -> list[float]:
 
     The random samples are the values that the fixed patterns find; the
     ordinary ones are words of letters, digits, dashes and underscores of eight
-    or more characters that are no candidates themselves. Random strings have no habits, so half of
+    or more characters that are no ``TOKEN`` themselves. Random strings have no habits, so half of
     their model is the even distribution. Only pair counts come to the driver,
     at most two times the square of the alphabet.
     """
@@ -120,18 +127,25 @@ def _ratio(value: Column, table: list[float]) -> Column:
 def with_secrets(docs: DataFrame) -> DataFrame:
     """Add the spans of the fixed patterns and all spans to a table with ``text`` (not null)."""
     table = train(docs)
-    text = F.col("text")
-    tokens = matches(text, TOKEN, "markov", 3, lambda value: _ratio(value, table) >= THRESHOLD)
-    found = docs.withColumns({"_base": base_spans(text), "_tokens": tokens})
-    every = F.sort_array(F.concat("_base", outside(F.col("_tokens"), F.col("_base"))))
-    return found.withColumn("_all", every).drop("_tokens")
+    found = docs.withColumn("_base", base_spans(F.col("text")))
+    rest = F.when(F.size("_base") > 0, blanked(F.col("text"), F.col("_base"))).otherwise(F.col("text"))
+    found = found.withColumn("_rest", rest)
+
+    def random(pattern: str) -> Column:
+        return matches(F.col("_rest"), pattern, "markov", 3, lambda value: _ratio(value, table) >= THRESHOLD)
+
+    found = found.withColumns({"_runs": random(RUN), "_parts": random(PART)})
+    every = F.sort_array(F.concat("_base", "_runs", outside(F.col("_parts"), F.col("_runs"))))
+    return found.withColumn("_all", every).drop("_rest", "_runs", "_parts")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Secrets of each text: ``doc_id``, counts and spans; a row for each row.
 
-    The fixed patterns come first; a token beside them is a secret of kind
-    ``markov`` if its mean log-likelihood ratio reaches ``THRESHOLD``. A null
+    The fixed patterns come first. In what they leave, a run of 12 or more
+    characters of the alphabet with a letter is a secret of kind ``markov`` if
+    its mean log-likelihood ratio reaches ``THRESHOLD``; if the whole run does
+    not, each of its separated parts of that length is tried. A null
     or empty text has none. Ids may be null or repeated; other columns are not
     looked at; an empty table gives an empty result. One pass, no shuffle.
     """
