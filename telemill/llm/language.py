@@ -76,9 +76,10 @@ def _counted(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def train(texts: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+def train(texts: DataFrame, prior: dict[str, int]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log priors and log probabilities (bucket by language) from ``text, label``.
 
+    ``prior`` is the number of rows of each language, in the sample or not.
     What comes to the driver has a row for a bucket and language at most.
     """
     counted = map_batches(texts, _counted, "label string, bucket int, n bigint")
@@ -86,7 +87,6 @@ def train(texts: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     names = sorted(rows["label"].unique())
     table = np.ones((BUCKETS, len(names)))
     table[rows["bucket"], rows["label"].map({n: i for i, n in enumerate(names)})] += rows["n"]
-    prior = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     log_prior = np.log([prior[n] / sum(prior.values()) for n in names]) if names else np.zeros(0)
     return names, log_prior, np.log(table / table.sum(axis=0)).astype(np.float32)
 
@@ -125,8 +125,8 @@ def remainder(id_col: str, divisor: int) -> Column:
 def identify(docs: DataFrame, learn: Column, id_col="doc_id", text_col="text", label_col="lang") -> DataFrame:
     """Language of each text: ``doc_id, lang_pred, score``, a row for each row.
 
-    The model is learned from at most ``TEXTS_PER_LANGUAGE`` whole texts a
-    language, of rows for which ``learn`` holds (over columns ``doc_id``,
+    The n-grams are learned from at most ``TEXTS_PER_LANGUAGE`` whole texts a
+    language, the priors from the number of all texts, of rows for which ``learn`` holds (over columns ``doc_id``,
     ``label``) and that have text and label; the language of a row is no input
     of its prediction. A text that is null or has no letter is ``und`` with
     score 0, as is every text if there is nothing to learn from. Rows may
@@ -136,9 +136,9 @@ def identify(docs: DataFrame, learn: Column, id_col="doc_id", text_col="text", l
     usable = docs.where(learn & F.col("label").isNotNull() & F.col("text").isNotNull())
     # The ids of the sample are chosen before any text is moved.
     ids = usable.select("label", "doc_id", F.xxhash64("doc_id").alias("_order"))
-    labels = [r["label"] for r in ids.select("label").distinct().collect()]
+    prior = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count("*").alias("n")).collect()}
     sample = None
-    for label in labels:
+    for label in prior:
         part = ids.where(F.col("label") == label).orderBy("_order", "doc_id").limit(TEXTS_PER_LANGUAGE)
         sample = part if sample is None else sample.union(part)
     spark = docs.sparkSession
@@ -146,7 +146,7 @@ def identify(docs: DataFrame, learn: Column, id_col="doc_id", text_col="text", l
         model = ([], np.zeros(0), np.zeros((BUCKETS, 0), np.float32))
     else:
         chosen = sample.select("doc_id").distinct()
-        model = train(usable.join(chosen, "doc_id", "left_semi").select("text", "label"))
+        model = train(usable.join(chosen, "doc_id", "left_semi").select("text", "label"), prior)
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_batches(docs.select("doc_id", "text"), _scored(shared), f"doc_id {kind}, lang_pred string, score double")

@@ -13,7 +13,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from telemill.llm import stages
+from telemill.llm import language, stages
 from telemill.llm.exact_dedup import OP4_SQL, DigestIndex, add_documents
 from telemill.llm.language import identify
 from telemill.llm.line_quality import quality_rules
@@ -280,6 +280,14 @@ def test_language(spark):
     assert {r.lang_pred for r in identify(frame, F.lit(False)).collect()} == {"und"}
 
 
+def test_language_priors_beyond_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(language, "TEXTS_PER_LANGUAGE", 5)
+    texts = ["same words in both"] * 40
+    frame = table(spark, texts).withColumn("lang", F.when(F.col("doc_id") < 30, "de").otherwise("en"))
+    got = identify(frame, F.lit(True)).collect()
+    assert all(r.lang_pred == "de" and r.score == pytest.approx(0.75) for r in got)
+
+
 def test_boundaries_are_optimal():
     lengths, counts = [1, 2, 5, 7, 11, 12, 30], [4, 1, 3, 9, 2, 2, 1]
 
