@@ -12,6 +12,7 @@ from telemill.llm.secrets import op10_secret_scan
 from telemill.llm.sentencepiece_bpe import op6_sentencepiece
 from telemill.llm.substring_dedup import op2_substring_dedup
 from telemill.llm.toxicity import op5_toxicity
+from telemill.llm.whitening import op11_embedding_whitening
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_secret_scan": op10_secret_scan,
+    "op11_embedding_whitening": op11_embedding_whitening,
 }
 
 ORACLE = {"op4_exact_dedup": OP4_SQL}
