@@ -5,6 +5,7 @@ from __future__ import annotations
 from telemill.llm.byte_bpe import op13_byte_bpe
 from telemill.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from telemill.llm.language import op8_language_id
+from telemill.llm.lexical_search import OP12_SQL, op12_lexical_search
 from telemill.llm.line_quality import op3_quality_rules
 from telemill.llm.near_dedup import op1_near_dedup
 from telemill.llm.packing import op9_packing
@@ -27,7 +28,8 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_secret_scan": op10_secret_scan,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_lexical_search": op12_lexical_search,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
-ORACLE = {"op4_exact_dedup": OP4_SQL}
+ORACLE = {"op4_exact_dedup": OP4_SQL, "op12_lexical_search": OP12_SQL}
