@@ -1,4 +1,4 @@
-"""Columns of the five tables and of the quarantine."""
+"""Columns of the five tables, of the quarantine, and of stored partial results."""
 
 from __future__ import annotations
 
@@ -44,6 +44,33 @@ SESSION_METRICS = T.StructType(
     ]
 )
 QUARANTINE = T.StructType([_TIMESTAMP, T.StructField("payload", T.StringType())])
+# Partial results of a slice of time, see ``operators.partials``; ``timestamp`` is its start.
+_COUNTS = ("success_count", "error_count", "approved_count", "rejected_count", "bad_duration_count")
+TOOL_PARTIALS = T.StructType(
+    [
+        _TIMESTAMP,
+        T.StructField("tool_name", T.StringType()),
+        T.StructField("call_count", T.LongType()),
+        T.StructField("last_call", T.TimestampType()),
+        T.StructField("duration_sum", T.DoubleType()),
+        T.StructField("min_duration_ms", T.LongType()),
+        T.StructField("max_duration_ms", T.LongType()),
+        *[T.StructField(name, T.LongType()) for name in _COUNTS],
+    ]
+)
+API_PARTIALS = T.StructType(
+    [
+        _TIMESTAMP,
+        T.StructField("model", T.StringType()),
+        T.StructField("call_count", T.LongType()),
+        T.StructField("error_count", T.LongType()),
+        T.StructField("latency_sum", T.DoubleType()),
+        T.StructField("bad_latency_count", T.LongType()),
+    ]
+)
+TOKEN_PARTIALS = T.StructType(TOKEN_USAGE.fields[1:])
+COST_PARTIALS = T.StructType(COST_USAGE.fields[1:])
+SESSION_PARTIALS = T.StructType(SESSION_METRICS.fields[1:])
 
 TABLES = {
     "log_events": LOG_EVENTS,
@@ -53,4 +80,11 @@ TABLES = {
     "session_metrics": SESSION_METRICS,
     "bad_log_payloads": QUARANTINE,
     "bad_metric_payloads": QUARANTINE,
+    "tool_panes": TOOL_PARTIALS,
+    "api_panes": API_PARTIALS,
+    "tool_days": TOOL_PARTIALS,
+    "api_days": API_PARTIALS,
+    "token_days": TOKEN_PARTIALS,
+    "cost_days": COST_PARTIALS,
+    "session_days": SESSION_PARTIALS,
 }
