@@ -42,8 +42,8 @@ def size(spark: SparkSession, folder: str) -> int:
     return _store(spark, path).getContentSummary(path).getLength()
 
 
-def write_whole(spark: SparkSession, path: str, text: str) -> None:
-    """A new small file that others see whole or not at all."""
+def write_whole(spark: SparkSession, path: str, text: str, replace: bool = False) -> None:
+    """A small file that others see whole or not at all; a new one, unless it may replace one."""
     place, draft = _path(spark, path), _path(spark, f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
     store = _store(spark, place)
     stream = store.create(draft, False)
@@ -51,6 +51,8 @@ def write_whole(spark: SparkSession, path: str, text: str) -> None:
         stream.write(text.encode())
     finally:
         stream.close()
+    if replace:
+        store.delete(place, False)
     if not store.rename(draft, place):
         store.delete(draft, False)
         raise FileExistsError(path)

@@ -86,7 +86,8 @@ def _short_label(lowered: str, rule: ModelRule) -> str:
     return f"concat_ws('-', {label}, {_model_version(lowered)})" if rule.versioned else label
 
 
-def _cut(name: Column) -> Column:
+def cut_name(name: Column) -> Column:
+    """The beginning of a long name."""
     # A cut inside a character moves back to the character's start.
     encoded = F.encode(name, "UTF-8")
     prefixes = [
@@ -119,7 +120,7 @@ def with_model_names(table: DataFrame, agents: Sequence[Agent] = AGENTS) -> Data
         .withColumns(
             {
                 "short_model": F.when(
-                    model.isNotNull(), F.coalesce(F.expr(short), _cut(model))
+                    model.isNotNull(), F.coalesce(F.expr(short), cut_name(model))
                 ),
                 "agent": F.expr(agent),
             }

@@ -15,9 +15,12 @@ def real_number(text: Column) -> Column:
     """Double value of a text, NULL when it is not one.
 
     Java also reads a type letter behind the digits (``1.5f``); telemetry
-    does not, so those count as bad text.
+    does not, so those count as bad text, as do digits that no double holds
+    (``1e400``).
     """
-    return F.when(~text.rlike(r"[0-9.]\s*[dDfF]\s*$"), text.try_cast("double"))
+    number = text.try_cast("double")
+    too_large = text.rlike("[0-9]") & (F.abs(number) == float("inf"))
+    return F.when(~text.rlike(r"[0-9.]\s*[dDfF]\s*$") & ~too_large, number)
 
 
 def plain_double(text: str) -> str:

@@ -49,28 +49,35 @@ def detected_agents(
     )
 
 
-def agent_sightings(logs: DataFrame, agents: Sequence[Agent] = AGENTS) -> DataFrame:
-    """Agent and time of every log event that gives an agent away.
-
-    Row by row, so that a stream can aggregate it.
-    """
+def telling_names(logs: DataFrame) -> DataFrame:
+    """Time, tool and model of every log event that may give an agent away; one of the two names is NULL."""
     tool_result = A.is_family(logs, "tool_result")
     request = A.is_family(logs, "api_request")
-    telling = logs.filter(tool_result | request).select(
+    named = logs.filter(tool_result | request).select(
         "timestamp",
         F.when(tool_result, A.attribute(logs, "tool_name")).alias("tool_name"),
         F.when(request, A.attribute(logs, "model")).alias("model"),
     )
-    by_model = names.with_model_names(telling, agents).select(
-        "timestamp", "tool_name", F.col("agent").alias("model_agent")
-    )
+    return named.filter(F.col("tool_name").isNotNull() | F.col("model").isNotNull())
+
+
+def agents_of_names(rows: DataFrame, agents: Sequence[Agent] = AGENTS) -> DataFrame:
+    """The agent of each row's model or, failing that, tool, in place of both; rows without one go."""
+    by_model = names.with_model_names(rows, agents).withColumnRenamed("agent", "model_agent")
+    dim = tool_dim(rows.sparkSession, agents)
     return (
-        by_model.join(tool_dim(logs.sparkSession, agents), "tool_name", "left")
-        .select(F.coalesce("model_agent", "agent").alias("agent"), "timestamp")
+        by_model.join(dim, "tool_name", "left")
+        .withColumn("agent", F.coalesce("model_agent", "agent"))
         .filter(F.col("agent").isNotNull())
+        .drop("tool_name", "model", "short_model", "model_agent")
     )
 
 
+def agent_sightings(logs: DataFrame, agents: Sequence[Agent] = AGENTS) -> DataFrame:
+    """Agent and time of every log event that gives an agent away."""
+    return agents_of_names(telling_names(logs), agents).select("agent", "timestamp")
+
+
 def events_by_prefix_agent(logs: DataFrame, agents: Sequence[Agent] = AGENTS) -> DataFrame:
     """Events per agent, by the prefix of the event name."""
     return (

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from telemill.fixed_values import AGENTS, TOP_MODELS, Agent
 from telemill.functions import attributes as A
 from telemill.functions.names import with_model_names
+from telemill.operators.partials import api_partials
 
 
 def api_requests(logs: DataFrame, since: datetime | None = None) -> DataFrame:
@@ -55,6 +56,14 @@ def api_totals(logs: DataFrame, since: datetime | None = None) -> DataFrame:
     )
 
 
+def model_report(logs: DataFrame, since: datetime | None = None) -> DataFrame:
+    """Calls, errors, latency and first call per model, as partials that every API report is made of."""
+    request = A.is_family(logs, "api_request")
+    return api_partials(
+        A.since_filter(logs, since), None, F.min(F.when(request, F.col("timestamp"))).alias("first_seen")
+    )
+
+
 def top_models(
     logs: DataFrame,
     since: datetime | None = None,
@@ -62,10 +71,13 @@ def top_models(
     agents: Sequence[Agent] = AGENTS,
 ) -> DataFrame:
     """The models called most, with their short names."""
-    most_called = (
-        calls_per_model(logs, since).orderBy(F.desc("calls"), F.asc("model")).limit(n)
-    )
-    return with_model_names(most_called, agents).select("model", "short_model", "calls")
+    return most_called(calls_per_model(logs, since), n, agents)
+
+
+def most_called(models: DataFrame, n: int = TOP_MODELS, agents: Sequence[Agent] = AGENTS) -> DataFrame:
+    """The first rows of a report of models by calls, with their short names."""
+    first = models.select("model", "calls").orderBy(F.desc("calls"), F.asc("model")).limit(n)
+    return with_model_names(first, agents).select("model", "short_model", "calls")
 
 
 def usage_by_short_model(

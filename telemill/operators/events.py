@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.functions import attributes as A
+from telemill.session import stored
 
 
 def logged_tool_calls(logs: DataFrame, since: datetime | None = None) -> DataFrame:
@@ -90,6 +91,26 @@ def last_error(errors: DataFrame, tool: str) -> DataFrame:
 def last_errors(errors: DataFrame) -> DataFrame:
     """Newest error of every tool.
 
+    The newest time per tool comes first, from a hash aggregation that never
+    touches the texts, and is written down: a row per tool, of known size, so
+    that Catalyst sends it to the errors if it is small and shuffles if not.
+    Only errors of these moments are then ranked by id and text.
+    """
+    newest = stored(errors.groupBy("tool_name").agg(F.max("timestamp").alias("_newest")), "newest-errors")
+    newest = newest.withColumnRenamed("tool_name", "_tool")
+    same = (F.col("tool_name") == F.col("_tool")) & F.col("timestamp").eqNullSafe(F.col("_newest"))
+    order = Window.partitionBy("tool_name").orderBy(F.desc("id"), F.desc("error_msg"))
+    return (
+        errors.join(newest, same)
+        .withColumn("_place", F.row_number().over(order))
+        .where("_place = 1")
+        .select("tool_name", "timestamp", "error_msg")
+    )
+
+
+def newest_errors(errors: DataFrame) -> DataFrame:
+    """The same in one aggregation, so that a stream can keep it as its state.
+
     ``max`` of a struct keeps one candidate per tool and task before the
     shuffle, so a tool with most of the errors costs no more than another.
     """

@@ -46,15 +46,17 @@ def merged_tool_metrics(partials: DataFrame) -> DataFrame:
     )
 
 
-def api_partials(logs: DataFrame, slice_start: Column) -> DataFrame:
-    """Partial API reports per slice and model; errors are counted with the model they name, if any."""
+def api_partials(logs: DataFrame, slice_start: Column | None, *more: Column) -> DataFrame:
+    """Partial API reports per slice, if there are any, and model; errors count with the model they name."""
     request, error = A.is_family(logs, "api_request"), A.is_family(logs, "api_error")
     events = logs.filter(request | error)
-    return events.groupBy(slice_start.alias("timestamp"), A.attribute(events, "model").alias("model")).agg(
+    keys = [] if slice_start is None else [slice_start.alias("timestamp")]
+    return events.groupBy(*keys, A.attribute(events, "model").alias("model")).agg(
         F.count_if(request).alias("call_count"),
         F.count_if(error).alias("error_count"),
         F.coalesce(F.sum(F.when(request, A.latency_ms(events))), F.lit(0.0)).alias("latency_sum"),
         F.count_if(request & A.bad_latency(events)).alias("bad_latency_count"),
+        *more,
     )
 
 

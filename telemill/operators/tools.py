@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.fixed_values import ACTIVE_WITHIN_SECONDS, AGENTS, FREQUENCY_STEPS, Agent
@@ -19,8 +19,8 @@ from telemill.operators.events import last_errors
 from telemill.sources.agents import agent_dim, tool_dim
 
 
-def tool_metrics(events: DataFrame) -> DataFrame:
-    """Calls, durations, outcomes and decisions per tool.
+def tool_metrics(events: DataFrame, *more: Column) -> DataFrame:
+    """Calls, durations, outcomes and decisions per tool, and what else is asked for.
 
     All buffers are fixed-width, so each task aggregates by hash before the
     shuffle and a hot tool sends one row per task.
@@ -36,6 +36,7 @@ def tool_metrics(events: DataFrame) -> DataFrame:
         F.count_if(A.is_approval(F.col("decision"))).alias("approved_count"),
         F.count_if(A.is_rejection(F.col("decision"))).alias("rejected_count"),
         F.count_if(F.col("bad_duration")).alias("bad_duration_count"),
+        *more,
     )
 
 

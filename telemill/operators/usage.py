@@ -85,6 +85,20 @@ def token_totals(
     ).withColumn("cache_reuse_band", rates.cache_reuse_band(F.col("cache_reuse_rate")))
 
 
+def classified_totals(tokens: DataFrame, agents: Sequence[Agent] = AGENTS) -> DataFrame:
+    """Tokens of each class and in all: one row, of one aggregation, so that a stream can make it."""
+    classed = tokens.join(token_type_dim(tokens.sparkSession, agents), "token_type", "left")
+
+    def of_class(*names: str):
+        wanted = F.col("token_class").isin(*names)
+        return F.coalesce(F.sum(F.when(wanted, F.col("count"))), F.lit(0))
+
+    return classed.agg(
+        *[of_class(name).alias(f"{name}_tokens") for name in TOKEN_CLASSES],
+        of_class(*TOKEN_CLASSES).alias("total_tokens"),
+    )
+
+
 def cost_total(costs: DataFrame, since: datetime | None = None) -> DataFrame:
     """Cost in all, 0 without rows."""
     return since_filter(costs, since).agg(
@@ -117,6 +131,17 @@ def session_metrics(
     return by_name.agg(*[report_column(column, known) for column, known in SESSION_COLUMNS.items()])
 
 
+def session_totals(metrics: DataFrame) -> DataFrame:
+    """The row of ``session_metrics`` over all rows, of one aggregation, so that a stream can make it."""
+
+    def sum_of(name: str):
+        return F.sum(F.when(F.col("metric_name") == name, F.col("value")))
+
+    return metrics.agg(
+        *[F.coalesce(*map(sum_of, known), F.lit(0)).alias(column) for column, known in SESSION_COLUMNS.items()]
+    )
+
+
 def productivity(session: DataFrame) -> DataFrame:
     """Lines changed per active hour, NULL without active time."""
     hours = F.col("active_time_secs") / 3600.0

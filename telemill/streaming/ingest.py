@@ -36,11 +36,11 @@ def payload_stream(
 
 
 def _append_batch(
-    payloads: DataFrame, batch: int, signal: str, root: str, name: str, checkpoint: str
+    payloads: DataFrame, batch: int, signal: str, root: str, name: str, checkpoint: str, **options: object
 ) -> None:
     # The checkpoint names its stream; no other stream and no fresh checkpoint has that id.
     stream = json.loads(payloads.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"]
-    _APPEND[signal](payloads, root, f"{name}-{stream}-{batch:012d}")
+    _APPEND[signal](payloads, root, f"{name}-{stream}-{batch:012d}", **options)
 
 
 def start_ingest(
@@ -49,15 +49,22 @@ def start_ingest(
     checkpoint: str,
     signal: str,
     name: str = "stream",
+    panes: bool = False,
     **trigger: object,
 ) -> StreamingQuery:
     """Append ``logs`` or ``metrics`` payloads of a stream to the tables.
 
     Each micro-batch is one load named after the stream's checkpoint and the
     batch, so streams never replace each other's loads: if it is run again after
-    a failure it replaces its own files, so every payload is stored once. ``trigger`` is passed on, such as ``availableNow=True``.
+    a failure it replaces its own files, so every payload is stored once.
+    Several streams may write to one root at once. With ``panes``, logs also keep the partials that
+    ``streaming.panes`` merges. ``trigger`` is passed on, such as ``availableNow=True``.
     """
-    writer = payloads.writeStream.foreachBatch(
-        partial(_append_batch, signal=signal, root=root, name=f"{name}-{signal}", checkpoint=checkpoint)
-    ).option("checkpointLocation", checkpoint)
+    if panes and signal != "logs":
+        raise ValueError("panes are kept of logs")
+    options = {"panes": True} if panes else {}
+    append = partial(
+        _append_batch, signal=signal, root=root, name=f"{name}-{signal}", checkpoint=checkpoint, **options
+    )
+    writer = payloads.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()

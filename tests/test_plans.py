@@ -46,6 +46,10 @@ def test_dimensions_join_after_the_aggregation(spark):
     assert "LocalTableScan" in plan
 
 
-def test_last_errors_join_without_a_shuffle_of_their_own(spark):
-    plan = plan_of(BATCH["tool_detail"](Telemetry(spark, SF)))
-    assert plan.count("hashpartitioning") == 2  # one aggregation on each side
+@pytest.mark.parametrize("name", ["last_error_all", "tool_detail"])
+def test_last_errors_sort_no_errors(spark, name):
+    plan = plan_of(BATCH[name](Telemetry(spark, SF)))
+    assert "SortAggregate" not in plan
+    # The errors meet the newest times by broadcast, and are ranked a few a task.
+    assert "BroadcastHashJoin" in plan and "WindowGroupLimit" in plan
+    assert plan.count("SortMergeJoin") == (name == "tool_detail")  # with the report, a row per tool

@@ -6,6 +6,8 @@ import pytest
 
 from telemill.functions.time_ranges import range_label, since_for
 from telemill.operators import events, tools
+from telemill.sources import tables
+from telemill.sources.errors import search_last_error
 from tests.helpers import START, at, by, legacy, logs, tool_result, utc
 
 
@@ -230,3 +232,32 @@ def test_last_error_tie(spark):
     errors = events.tool_errors(legacy(spark), logs(spark, *rows))
     assert events.last_errors(errors).first().error_msg == "second"
     assert events.last_error(errors, "t").first().error_msg == "second"
+
+
+def test_last_error_ties_and_missing_times(spark):
+    rows = [("tool_result", {"tool_name": "a", "success": "false", "error": text}, 5) for text in ("x", "z", "y")]
+    old = legacy(spark, ("a", False, 1, "old", 4), ("b", False, 1, "b1", 9), ("b", False, 1, "b2", 9))
+    errors = events.tool_errors(old, logs(spark, *rows))
+    timeless = errors.limit(1).selectExpr("id", "cast(null as timestamp) as timestamp", "'c' as tool_name", "'n' as error_msg")
+    errors = errors.unionByName(timeless).unionByName(errors)  # every row twice
+    want = {"a": "y", "b": "b2", "c": "n"}  # equal times go by id
+    for last in (events.last_errors, events.newest_errors):
+        assert {r.tool_name: r.error_msg for r in last(errors).collect()} == want
+
+
+def opened(frame):
+    return {f.split("event_date=")[1][:10] for f in frame.inputFiles()}
+
+
+def test_the_last_error_of_one_tool_reads_the_newest_days_only(spark, tmp_path):
+    root = str(tmp_path)
+    failed = [("tool_result", {"tool_name": t, "success": "false", "error": f"{t}{d}"}, 86400 * d) for d, t in enumerate("abcdefgh")]
+    tables.append(logs(spark, *failed), root, "log_events", "one")
+    tables.append(legacy(spark, ("a", False, 1, "old", -86400), ("h", False, 1, "h-old", 0)), root, "tool_events", "one")
+    newest = search_last_error(spark, root, "h")
+    assert newest.first().error_msg == "h7" and opened(newest) == {"2024-01-17"}
+    earlier = search_last_error(spark, root, "f")
+    assert earlier.first().error_msg == "f5" and opened(earlier) == {"2024-01-15", "2024-01-16"}
+    assert search_last_error(spark, root, "a").first().error_msg == "a0"
+    assert search_last_error(spark, root, "nobody").count() == 0
+    assert search_last_error(spark, str(tmp_path / "none"), "a").count() == 0
