@@ -17,8 +17,8 @@ BANDS, ROWS = 28, 4
 BITS, BLOCK = 8192, 1024
 
 
-def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of the word shingles of each text, and their number in each.
+def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct word shingles of each text by two independent hashes, sorted by the first, and their number in each.
 
     A-Z count as a-z. A text of fewer words is one shingle, a text without
     words has none.
@@ -27,13 +27,16 @@ def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     counts = np.where(words.counts >= size, words.counts - size + 1, np.minimum(words.counts, 1))
     width = np.repeat(np.minimum(words.counts, size), counts)
     first = np.repeat(starts_of(words.counts) - starts_of(counts), counts) + np.arange(counts.sum())
-    value = width.astype(np.uint64)
+    value, other = width.astype(np.uint64), width.astype(np.uint64)
     for step in range(size):
         more = width > step
         value[more] = mix(value[more] ^ words.hashes[first[more] + step])
-    sets = [np.unique(part) for part in np.split(value, starts_of(counts)[1:])] if len(counts) else []
-    counts = np.array([len(part) for part in sets], np.int64)
-    return np.concatenate(sets) if sets else value, counts
+        other[more] = mix(other[more] ^ words.others[first[more] + step])
+    ends = np.cumsum(counts)
+    places = [start + np.unique(value[start:end], return_index=True)[1] for start, end in zip(ends - counts, ends)]
+    counts = np.array([len(part) for part in places], np.int64)
+    chosen = np.concatenate(places) if places else np.zeros(0, np.int64)
+    return value[chosen], counts, other[chosen]
 
 
 def _permuted(places: np.ndarray) -> np.ndarray:
@@ -71,11 +74,11 @@ def _band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _sets_of(size: int, bands: int, rows: int):
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values, counts = shingles(batch["text"], size)
+        values, counts, others = shingles(batch["text"], size)
         full = counts > 0
         keys = np.zeros((2, len(counts)), np.uint64)
-        for seed in (0, 1):  # a sum does not depend on the order
-            keys[seed, full] = np.add.reduceat(mix(values, 2 + seed), starts_of(counts)[full]) if full.any() else 0
+        for place, some in enumerate((values, others)):  # a sum does not depend on the order
+            keys[place, full] = np.add.reduceat(mix(some, 2), starts_of(counts)[full]) if full.any() else 0
         band = _band_keys(signatures(values, counts[full], bands * rows), bands, rows)
         return pa.RecordBatch.from_arrays(
             [
@@ -93,14 +96,17 @@ def _sets_of(size: int, bands: int, rows: int):
 
 def _similar(size: int, percent: int):
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        left, left_counts = shingles(batch["text"], size)
-        right, right_counts = shingles(batch["other"], size)
+        left, left_counts, left_others = shingles(batch["text"], size)
+        right, right_counts, right_others = shingles(batch["other"], size)
         keep = []
         parts = zip(
-            np.split(left, starts_of(left_counts)[1:]), np.split(right, starts_of(right_counts)[1:])
+            *[np.split(some, starts_of(left_counts)[1:]) for some in (left, left_others)],
+            *[np.split(some, starts_of(right_counts)[1:]) for some in (right, right_others)],
         )
-        for one, two in parts:
-            common = len(np.intersect1d(one, two, assume_unique=True))
+        for one, one_other, two, two_other in parts:
+            # A shingle is common only if both of its hashes are.
+            _, mine, its = np.intersect1d(one, two, assume_unique=True, return_indices=True)
+            common = int((one_other[mine] == two_other[its]).sum())
             union = len(one) + len(two) - common
             keep.append(common > 0 and 100 * common >= percent * union)
         return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -211,7 +217,7 @@ def _bitmaps(size: int):
     """A bit for each shingle of a set, and the shingles less the bits."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values, counts = shingles(batch["text"], size)
+        values, counts, _ = shingles(batch["text"], size)
         places = (mix(values, 5) % np.uint64(BITS)).astype(np.int64)
         bits = np.zeros((len(counts), BITS), bool)
         bits[np.repeat(np.arange(len(counts)), counts), places] = True
@@ -270,7 +276,7 @@ def _across(texts: DataFrame, member: DataFrame, size: int, percent: int) -> Dat
     texts = texts.join(reps, texts["doc_id"] == reps["rep"], "left_semi").withColumnRenamed("doc_id", "rep")
     bitmaps = map_batches(texts, _bitmaps(size), "rep bigint, bits binary, hidden bigint")
     rows = (
-        member.join(bitmaps.dropDuplicates(["rep"]).join(reps, "rep").hint("merge"), "rep")
+        member.join(bitmaps.join(reps, "rep").hint("merge"), "rep")
         .withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
         .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

@@ -186,11 +186,11 @@ def _candidates(window: int):
         chosen = (found < 0) | np.isin(own, told)
         first, of = parse.first[chosen], of[chosen]
         place = first - starts_of(words.counts)[of]
-        second = _window_hashes(words.hashes, first, window, 1) >> np.uint64(32)
+        second = _window_hashes(words.others, first, window, 1)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(signed(_window_hashes(words.hashes, first, window, 0))),
-                pa.array(second.astype(np.uint32).view(np.int32)),
+                pa.array(signed(second)),
                 pa.array(place.astype(np.int32)),
                 batch["k1"].take(pa.array(of)),
                 batch["k2"].take(pa.array(of)),
@@ -283,7 +283,7 @@ def repeated_passages(
         "suspects",
     )
     windows = map_batches(
-        suspects, _candidates(window), "w1 bigint, w2 int, place int, k1 bigint, k2 bigint"
+        suspects, _candidates(window), "w1 bigint, w2 bigint, place int, k1 bigint, k2 bigint"
     )
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
     places = (

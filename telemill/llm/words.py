@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 # Texts of a batch are worked on in slices of about this many bytes.
 SLICE_BYTES = 1 << 19
@@ -40,7 +40,9 @@ class Words:
     """Words ``[^\x20\x09-\x0D]+`` of a batch of texts, in order, as numpy arrays.
 
     ``counts`` has the words of each text (null: 0), ``begin`` and ``end`` the
-    bytes of each word in ``data``, ``hashes`` a 64-bit hash of each word.
+    bytes of each word in ``data``, ``hashes`` and ``others`` two independent
+    64-bit hashes of each word: the halves of a 128-bit hash of its bytes, which
+    is taken once of each distinct word of the batch.
     """
 
     def __init__(self, texts: pa.Array, lower: bool = False):
@@ -54,12 +56,15 @@ class Words:
         first[edges], last[edges - 1] = inside[edges], inside[edges - 1]
         self.begin, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.counts = np.diff(np.searchsorted(self.begin, offsets))
-        codes = (_LOWER_CODES if lower else _CODES)[self.data]
-        total = np.zeros(len(codes) + 1, np.uint64)
-        powers = _powers(_BASE, len(codes))
-        np.cumsum(codes * powers, out=total[1:])
-        value = (total[self.end] - total[self.begin]) * _powers(_INVERSE, len(codes))[self.begin]
-        self.hashes = mix(value + (self.end - self.begin).astype(np.uint64))
+        # Without the bytes between words, a word ends where the next begins.
+        kept = np.concatenate(([0], np.cumsum(inside)))
+        borders = np.append(kept[self.begin], kept[-1]).astype(np.int64)
+        letters = self.data[inside]
+        buffers = [None, pa.py_buffer(borders), pa.py_buffer(_LOWER[letters] if lower else letters)]
+        coded = pa.Array.from_buffers(pa.large_binary(), len(self.begin), buffers).dictionary_encode()
+        digests = b"".join(map(xxh3_128_digest, coded.dictionary.to_pylist()))
+        halves = np.frombuffer(digests, np.uint64).reshape(-1, 2)[coded.indices.to_numpy()]
+        self.hashes, self.others = np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
 
     def slice(self, start: int, stop: int) -> bytes:
         return self.data[start:stop].tobytes()
@@ -77,22 +82,8 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
-_BASE = 0xD1342543DE82EF95  # odd, so that it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_CODES = mix(np.arange(256, dtype=np.uint64))
-_LOWER_CODES = _CODES.copy()
-_LOWER_CODES[ord("A") : ord("Z") + 1] = _CODES[ord("a") : ord("z") + 1]
-
-
-@cache
-def _power_table(base: int, size: int) -> np.ndarray:
-    table = np.full(size, base, np.uint64)
-    table[0] = 1
-    return np.cumprod(table)
-
-
-def _powers(base: int, size: int) -> np.ndarray:
-    return _power_table(base, 1 << max(size, SLICE_BYTES).bit_length())[:size]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def starts_of(counts: np.ndarray) -> np.ndarray:
