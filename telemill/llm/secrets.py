@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm.spans import blanked, counted, joined, matches, outside, replaced
+from telemill.llm.spans import blanked, counted, joined, matches, replaced
 from telemill.llm.words import plain
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Z0-9+/_.=-]++)"""
@@ -131,12 +131,15 @@ def with_secrets(docs: DataFrame) -> DataFrame:
     rest = F.when(F.size("_base") > 0, blanked(F.col("text"), F.col("_base"))).otherwise(F.col("text"))
     found = found.withColumn("_rest", rest)
 
-    def random(pattern: str) -> Column:
-        return matches(F.col("_rest"), pattern, "markov", 3, lambda value: _ratio(value, table) >= THRESHOLD)
+    def random(rest: str, pattern: str) -> Column:
+        return matches(F.col(rest), pattern, "markov", 3, lambda value: _ratio(value, table) >= THRESHOLD)
 
-    found = found.withColumns({"_runs": random(RUN), "_parts": random(PART)})
-    every = F.sort_array(F.concat("_base", "_runs", outside(F.col("_parts"), F.col("_runs"))))
-    return found.withColumn("_all", every).drop("_rest", "_runs", "_parts")
+    found = found.withColumn("_runs", random("_rest", RUN))
+    # Parts are looked for in what the runs leave.
+    left = F.when(F.size("_runs") > 0, blanked(F.col("_rest"), F.col("_runs"))).otherwise(F.col("_rest"))
+    found = found.withColumn("_left", left).withColumn("_parts", random("_left", PART))
+    every = F.sort_array(F.concat("_base", "_runs", "_parts"))
+    return found.withColumn("_all", every).drop("_rest", "_left", "_runs", "_parts")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
