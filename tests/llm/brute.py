@@ -89,3 +89,9 @@ def personal(text: str | None) -> list[tuple[int, int, str, int]]:
 
 def digest(spans) -> str:
     return hashlib.sha256(",".join(spans).encode()).hexdigest()
+
+
+def thue_morse(length: int, letters: str = "ab") -> tuple[str, str]:
+    """A word by the Thue-Morse rule, and its complement."""
+    bits = [bin(i).count("1") % 2 for i in range(length)]
+    return tuple("".join(letters[b ^ flip] for b in bits) for flip in (0, 1))
