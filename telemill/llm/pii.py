@@ -23,6 +23,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = [*[(kind, f"[{kind.upper()}]") for kind in KINDS], ("term", "[TERM]")]
 #: Texts that have to show a term and a value together.
 SUPPORT = 3
+#: Marks and values of texts up to which they are broadcast.
+LISTED = 1_000_000
 #: Share of a value's information that a term may not disclose.
 DISCLOSURE = 0.8
 
@@ -106,15 +108,18 @@ def term_spans(docs: DataFrame, found: DataFrame, once: DataFrame, flagged: Data
         .agg(F.collect_set("word").alias("marks"))
     )
     marks = stored(marks.join(once.select("k1", "k2", "base"), ["k1", "k2"], "left"), "marks")
+    # Marks go to the texts if they are few; else both are shuffled, and copies split by adaptive execution.
+    size = marks.agg(F.sum(F.size("marks") + F.coalesce(F.size("base"), F.lit(0)) + 1)).first()[0] or 0
+    marks = F.broadcast(marks) if size <= LISTED else marks.hint("merge")
     texts = docs.select("k1", "k2", "text").join(marks, ["k1", "k2"])
-    texts = texts.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in ("text", "marks", "base")])
     free = F.when(F.col("base").isNotNull(), blanked(F.col("text"), F.col("base"))).otherwise(F.col("text"))
     # Written first, since a pattern looks at its text more than once.
     texts = stored(texts.select("k1", "k2", "marks", free.alias("free")), "free")
     terms = matches(
         F.col("free"), TERM, "term", len(KINDS), lambda value: F.array_contains(F.col("marks"), F.xxhash64(F.lower(value)))
     )
-    return texts.select("k1", "k2", terms.alias("terms"))
+    # Copies have the same terms; only these are moved.
+    return texts.select("k1", "k2", terms.alias("terms")).groupBy("k1", "k2").agg(F.first("terms").alias("terms"))
 
 
 def personal_data(
@@ -150,7 +155,10 @@ def personal_data(
         "protected",
     )
     terms = term_spans(docs, found, once, stored(disclosing_terms(found, once), "flagged"))
-    rows = found.drop("words").join(stored(terms, "term_spans"), ["k1", "k2"], "left")
+    terms = stored(terms, "term_spans")
+    few = terms.agg(F.sum(F.size("terms") + 1)).first()[0] or 0
+    terms = F.broadcast(terms) if few <= LISTED else terms.hint("merge")
+    rows = found.drop("words").join(terms, ["k1", "k2"], "left")
 
     def of_kind(kind: str) -> Column:
         return F.sort_array(F.filter("base", lambda s: s["kind"] == kind))
