@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from telemill import files
+
 # SQL settings that change results, so every job fixes them.
 RESULT_SETTINGS = {
     # OTLP times are UTC; event_date partitions are cut at UTC midnight.
@@ -26,9 +31,16 @@ def prepare_session(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach: ``spark.checkpoint.dir``, else one in the warehouse."""
+    """The folder all executors can reach: ``spark.checkpoint.dir``, else one in the warehouse.
+
+    A warehouse on a disk of one machine will do for a local session only.
+    """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate").rstrip("/")
+    if folder is None:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate"
+        if folder.startswith(("file:", "/")) and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return folder.rstrip("/")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -40,8 +52,8 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return folder
 
 
-def remove_folders() -> None:
-    """Delete the folders that :func:`new_folder` has named in this process.
+def remove_folders(since: int = 0) -> None:
+    """Delete the folders that :func:`new_folder` has named in this process, all or the latest.
 
     Results are read lazily, so their folders have to stay until the last of
     them has been used; a long-lived process calls this between jobs.
@@ -49,11 +61,18 @@ def remove_folders() -> None:
     spark = SparkSession.getActiveSession()
     if spark is None:
         return
-    jvm = spark.sparkContext._jvm
-    configuration = spark.sparkContext._jsc.hadoopConfiguration()
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(configuration).delete(path, True)
+    while len(_made) > since:
+        files.delete(spark, _made.pop())
+
+
+@contextmanager
+def freed_folders() -> Iterator[None]:
+    """Delete the folders that are named inside when it ends: for work whose result is written elsewhere."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        remove_folders(before)
 
 
 def stored(table: DataFrame, label: str) -> DataFrame:

@@ -6,9 +6,10 @@ from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
-from telemill import schema
+from telemill import files, schema
 from telemill.operators import events, tools
 from telemill.plans import fixture
+from telemill.session import freed_folders, new_folder, stored
 from telemill.sources import tables
 from telemill.sources.commits import load_of, read_commits
 from tests.helpers import START, by, legacy, logs, tool_result
@@ -177,3 +178,12 @@ def test_a_load_run_again_leaves_none_of_its_old_rows(spark, tmp_path):
     assert count(spark, root, "tool_events") == 1
     tables.append(moved.limit(0), root, "log_events", "2024-01-10T12:00")
     assert count(spark, root, "log_events") == 2
+
+
+def test_folders_go_when_their_work_is_done(spark):
+    outer = new_folder(spark, "kept")
+    spark.range(1).write.parquet(outer)
+    with freed_folders():
+        inner = stored(spark.range(3), "inner").inputFiles()[0].rpartition("/")[0]
+        assert files.matching(spark, inner)
+    assert files.matching(spark, outer) and not files.matching(spark, inner)
