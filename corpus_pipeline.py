@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from telemill.llm import stages
-from telemill.session import stored
+from telemill.session import freed_folders, new_folder
 
 STAGES = [
     ("toxicity", stages.without_toxic),
@@ -24,8 +24,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents."""
+    """All stages over the documents. What a stage keeps on disk goes when its rows are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        folder = new_folder(spark, name)
+        with freed_folders():
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(folder)
+        docs = spark.read.schema(kept.schema).parquet(folder)
     return docs
