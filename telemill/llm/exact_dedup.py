@@ -15,8 +15,9 @@ class DigestIndex:
     """A table ``digest, keep_id, group_size, load`` at a path, kept across sessions.
 
     Files are bucketed and sorted by digest, so that the index is never
-    shuffled or sorted again: new digests come to its buckets. ``buckets`` is
-    fixed when the index is made; aim at some hundred MB a bucket.
+    shuffled: new digests come to its buckets. A bucket of several loads has as
+    many sorted files, which Spark sorts as one when it reads them. ``buckets``
+    is fixed when the index is made; aim at some hundred MB a bucket.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16):

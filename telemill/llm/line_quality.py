@@ -167,3 +167,49 @@ def quality_rules(
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Line frequency rules over all documents, with their source as host."""
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP3_SQL = r"""
+WITH rows_ AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce('=' || source, '') AS host,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), windows AS (
+    SELECT r, p, array_to_string(words[p:p + 7], ' ') AS name
+    FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS p FROM rows_ WHERE len(words) >= 8)
+), repeated AS (
+    SELECT r, name FROM windows GROUP BY r, name HAVING count(*) > 1
+), covered AS (
+    SELECT r, count(DISTINCT place) AS n
+    FROM (SELECT r, unnest(range(p, p + 8)) AS place FROM windows SEMI JOIN repeated USING (r, name)) GROUP BY r
+), all_lines AS (
+    SELECT r, unnest(string_split(text, chr(10))) AS line FROM rows_
+), doubled AS (
+    SELECT r, count(*) - count(DISTINCT line) AS n FROM all_lines
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+), texts AS (
+    SELECT DISTINCT host, text FROM rows_
+), tidy AS (
+    SELECT DISTINCT host, text,
+        trim(regexp_replace(lower(unnest(string_split(text, chr(10)))), '[\x20\x09\x0B-\x0D]+', ' ', 'g')) AS line
+    FROM texts
+), counted AS (
+    SELECT host, text, line, len(string_split(line, ' ')) AS words, count(*) OVER (PARTITION BY host, line) AS n
+    FROM tidy WHERE line <> ''
+), lost AS (
+    SELECT host, text, sum(words)::BIGINT AS line_words,
+        coalesce(sum(words) FILTER (WHERE n > 10), 0)::BIGINT AS gone
+    FROM counted GROUP BY host, text
+), base AS (
+    SELECT rows_.*, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+        len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+        coalesce(doubled.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+    FROM rows_ LEFT JOIN doubled USING (r) LEFT JOIN covered USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
+        AND coalesce(line_words - gone >= 0.5 * line_words, true) AS kept,
+    coalesce(gone, 0)::BIGINT AS n_line_words_removed
+FROM base LEFT JOIN lost USING (host, text)
+"""

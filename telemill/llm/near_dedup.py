@@ -289,3 +289,39 @@ def _across(texts: DataFrame, member: DataFrame, size: int, percent: int) -> Dat
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on 2-word shingles."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=2)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE rows_ AS (
+    SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), pairs_of_words AS (
+    SELECT r, words, unnest(range(1, greatest(len(words), 2))) AS p FROM rows_ WHERE len(words) > 0
+), shingles AS (
+    SELECT DISTINCT r, CASE WHEN len(words) = 1 THEN words[1] ELSE words[p] || ' ' || words[p + 1] END AS shingle
+    FROM pairs_of_words
+), sizes AS (
+    SELECT r, count(*) AS n FROM shingles GROUP BY r
+), common AS (
+    SELECT a.r AS a, b.r AS b, count(*) AS shared
+    FROM shingles a JOIN sizes x ON a.r = x.r
+    JOIN shingles b ON a.shingle = b.shingle AND a.r < b.r
+    JOIN sizes y ON b.r = y.r AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+    GROUP BY a.r, b.r
+), links AS (
+    SELECT a, b FROM common JOIN sizes x ON a = x.r JOIN sizes y ON b = y.r
+    WHERE 100 * shared >= 80 * (x.n + y.n - shared)
+), both_ways AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+    SELECT r AS a, r AS b FROM rows_
+    UNION
+    SELECT reached.a, both_ways.b FROM reached JOIN both_ways ON reached.b = both_ways.a
+), smallest AS (
+    SELECT reached.a AS r, min(doc_id) AS component_id FROM reached JOIN rows_ ON reached.b = rows_.r GROUP BY reached.a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM rows_ JOIN smallest USING (r) LEFT JOIN sizes USING (r)
+"""

@@ -323,3 +323,27 @@ def repeated_passages(
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """All documents without passages of 35 or more words that occur more than once."""
     return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP2_SQL = r"""
+WITH rows_ AS (
+    SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), windows AS (
+    SELECT r, p, md5(array_to_string(words[p:p + 34], ' ')) AS name
+    FROM (SELECT r, words, unnest(range(1, len(words) - 33)) AS p FROM rows_ WHERE len(words) >= 35)
+), covered AS (
+    SELECT DISTINCT r, unnest(range(p, p + 35)) AS place
+    FROM windows WHERE name IN (SELECT name FROM windows GROUP BY name HAVING count(*) > 1)
+), placed AS (
+    SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM rows_
+), left_over AS (
+    SELECT r, string_agg(word, ' ' ORDER BY place) AS rest FROM placed ANTI JOIN covered USING (r, place) GROUP BY r
+), removed AS (
+    SELECT r, count(*) AS n FROM covered GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+    sha256(coalesce(rest, '')) AS kept_sha256
+FROM rows_ LEFT JOIN left_over USING (r) LEFT JOIN removed USING (r)
+"""
