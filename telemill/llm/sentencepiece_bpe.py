@@ -23,7 +23,7 @@ from telemill.llm.words import lists, map_batches, plain, starts_of, utf8, whole
 MARK = "▁"
 NORMAL, BYTE, UNIGRAM = 1, 6, 1
 #: Words and piece pairs that a task remembers between batches.
-REMEMBERED = 150_000
+REMEMBERED = 600_000
 #: Bytes of text whose words are sorted together.
 SLICE_BYTES = 2 << 20
 
