@@ -3,12 +3,13 @@
 Terms are all words of the examples, with how often they occur. Beginnings and
 numbers of words that labelled examples show to go with toxicity, the features,
 are further terms that weigh more. IDF comes from all documents. Examples lie
-in an inverted index, and a search adds up all postings of the terms of a text.
+in an inverted index in blocks, with the largest weight of each term in each
+block: the sum of these bounds the cosine of all examples of a block, so blocks
+that cannot hold a nearest one are not searched.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.llm.language import remainder
-from telemill.llm.words import map_batches, plain, whole_batches
+from telemill.llm.words import map_batches, plain, starts_of, whole_batches
 from telemill.session import stored
 
 #: Labelled texts of either class that the model is fitted on, at most, chosen by a hash of their id.
@@ -37,6 +38,10 @@ CUT = 0.3
 RATE_WORDS = 300
 LEVELS = 3
 REMEMBERED = 400_000
+#: Examples of a block, and texts searched together.
+BLOCK, TOGETHER = 128, 1024
+#: A term of at least one in HEAVY rows of a table is kept in full there, and so many of them at most.
+HEAVY, FULL = 8, 1024
 #: Texts whose score a task remembers.
 REMEMBERED_TEXTS = 20_000
 
@@ -112,23 +117,23 @@ class Vocabulary:
         self.levels: dict[str, dict[int, int]] = {}
         for i, term in enumerate(features):
             self.levels.setdefault(term[1:], {})[int(term[0])] = i
-        self.known: dict[str, tuple[int, tuple[str, ...]]] = {}
+        self.known: dict[str, tuple[int, tuple[str, ...]] | None] = {}
 
-    def terms(self, text: str | None) -> tuple[list[int], list[int], float]:
-        """Sorted terms of a text, how often each occurs, and the sum of squares of those no example has."""
+    def terms(self, text: str | None) -> tuple[list[int], list[int]]:
+        """Sorted terms of a text, and how often each occurs; words that no example has are none."""
         words = _LETTERS.findall((text or "").lower())
         stem_counts: Counter[str] = Counter()
-        found, rest = {}, 0.0
+        found, known = {}, self.known
         for word, count in Counter(words).items():
-            hit = self.known.get(word)
+            hit = known.get(word, 0)
+            if hit == 0:
+                if len(known) > REMEMBERED:
+                    known.clear()
+                own, some = self.words.get(word, -1), tuple(s for s in stems(word) if s in self.levels)
+                hit = known[word] = (own, some) if own >= 0 or some else None
             if hit is None:
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-                hit = self.words.get(word, -1), tuple(s for s in stems(word) if s in self.levels)
-                self.known[word] = hit
-            if hit[0] < 0:
-                rest += 1.0 if count == 1 else (1 + math.log(count)) ** 2
-            else:
+                continue
+            if hit[0] >= 0:
                 found[hit[0]] = count
             for stem in hit[1]:
                 stem_counts[stem] += count
@@ -138,7 +143,7 @@ class Vocabulary:
                 if at <= level:
                     found[i] = 1
         terms = sorted(found)
-        return terms, [found[t] for t in terms], rest
+        return terms, [found[t] for t in terms]
 
 
 def _termed(shared):
@@ -147,14 +152,8 @@ def _termed(shared):
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = [shared.value.terms(text) for text in batch["text"].to_pylist()]
         names = [n for n in batch.schema.names if n != "text"]
-        columns = [
-            pa.array([o[0] for o in out], pa.list_(pa.int32())),
-            pa.array([o[1] for o in out], pa.list_(pa.int32())),
-            pa.array([o[2] for o in out], pa.float64()),
-        ]
-        return pa.RecordBatch.from_arrays(
-            [*[batch[n] for n in names], *columns], names=[*names, "features", "counts", "rest"]
-        )
+        columns = [pa.array([o[i] for o in out], pa.list_(pa.int32())) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([*[batch[n] for n in names], *columns], names=[*names, "features", "counts"])
 
     return make
 
@@ -172,66 +171,149 @@ def _documents_with(size: int):
     return run
 
 
+class Postings:
+    """Some rows of sparse vectors by term: in full for terms of many rows, else as lists."""
+
+    def __init__(self, terms: np.ndarray, rows: np.ndarray, values: np.ndarray, size: int, width: int):
+        own, which = np.unique(terms, return_inverse=True)
+        self.width = width
+        self.slots = np.full(size, -1, np.int32)  # of each term, its place among those there are
+        self.slots[own] = np.arange(len(own))
+        often = np.bincount(which, minlength=len(own))
+        first = np.argsort(-often, kind="stable")[:FULL]
+        first = first[often[first] * HEAVY >= width]
+        self.full = np.full(len(own), -1, np.int32)
+        self.full[first] = np.arange(len(first))
+        heavy = self.full[which] >= 0
+        self.matrix = np.zeros((len(first), width))
+        self.matrix[self.full[which[heavy]], rows[heavy]] = values[heavy]
+        light = which[~heavy]
+        order = np.argsort(light, kind="stable")
+        self.rows, self.values = rows[~heavy][order].astype(np.int32), values[~heavy][order]
+        self.counts = np.bincount(light, minlength=len(own)).astype(np.int32)
+        self.starts = starts_of(self.counts).astype(np.int32)
+
+    def products(self, query: np.ndarray, terms: np.ndarray, weights: np.ndarray, queries: int) -> np.ndarray:
+        """Products of all rows with some queries, given as sparse entries."""
+        slots = self.slots[terms]
+        here = slots >= 0
+        query, slots, weights = query[here], slots[here], weights[here]
+        full = self.full[slots]
+        heavy = full >= 0
+        dense = np.zeros((queries, len(self.matrix)))
+        dense[query[heavy], full[heavy]] = weights[heavy]
+        out = dense @ self.matrix
+        query, slots, weights = query[~heavy], slots[~heavy], weights[~heavy]
+        counts = self.counts[slots]
+        at = np.repeat(self.starts[slots] - starts_of(counts), counts) + np.arange(counts.sum())
+        cells = np.repeat(query, counts) * self.width + self.rows[at]
+        shares = np.repeat(weights, counts) * self.values[at]
+        return out + np.bincount(cells, shares, queries * self.width).reshape(queries, self.width)
+
+
 class ExampleIndex:
-    """Inverted index of unit vectors over the examples that have a term.
+    """Inverted index of unit vectors over the examples that have a term, in blocks of similar ones.
 
     ``rows`` are id, label (0 or 1) and terms of an example, and how often it
     has each (once if left out); ``weights`` the rows that an example stands for.
     """
 
-    def __init__(self, rows: list[tuple], idf: np.ndarray, weights: tuple[float, float]):
+    def __init__(self, rows: list[tuple], idf: np.ndarray, weights: tuple[float, float], block: int = BLOCK):
         rows = sorted((r for r in rows if r[2]), key=lambda r: (r[2], r[1], str(r[0])))
-        self.idf, self.weights = idf, weights
+        self.idf, self.weights, self.block = idf, weights, block
         self.ids, self.features = [r[0] for r in rows], [r[2] for r in rows]
-        self.counts = [r[3] if len(r) > 3 else None for r in rows]
+        self.counts = [r[3] if len(r) > 3 else [1] * len(r[2]) for r in rows]
         self.labels = np.array([r[1] for r in rows], np.int64)
-        terms = np.array([t for f in self.features for t in f], np.int64)
-        places = np.repeat(np.arange(len(rows)), [len(f) for f in self.features])
-        vectors = [self.vector(f, n) for f, n in zip(self.features, self.counts)]
-        order = np.argsort(terms, kind="stable")
-        self.places = places[order]
-        self.values = np.concatenate(vectors)[order] if vectors else np.zeros(0)
-        self.ends = np.cumsum(np.bincount(terms, minlength=len(idf))).tolist()
-
-    def vector(self, features: list[int], counts: list[int] | None = None, rest: float = 0.0) -> np.ndarray:
-        """Unit vector; ``rest`` is the sum of squares of the weights of terms that no example has."""
-        weights = self.idf[features]
-        if counts is not None:
-            weights = weights * (1 + np.log(counts))
-        return weights / np.sqrt((weights**2).sum() + rest)
+        self.searched = 0  # pairs of text and block of which all cosines were worked out
+        place, term, value = self.vectors(self.features, self.counts)
+        self.entries = place.astype(np.int32), term.astype(np.int32), value
+        self._build()
+
+    def __getstate__(self) -> dict:
+        """What travels to the tasks: the entries, of which each worker builds the blocks once."""
+        return {n: v for n, v in self.__dict__.items() if n not in ("bounds", "parts", "features", "counts")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._build()
+
+    def _build(self) -> None:
+        place, term, value = self.entries
+        idf, block = self.idf, self.block
+        blocks = -(-len(self.ids) // block)
+        within = place // block
+        # The largest weight of each term in each block.
+        cell, where = np.unique(term.astype(np.int64) * max(blocks, 1) + within, return_inverse=True)
+        largest = np.zeros(len(cell))
+        np.maximum.at(largest, where, value)
+        self.bounds = Postings(cell // max(blocks, 1), cell % max(blocks, 1), largest, len(idf), blocks)
+        self.parts = []
+        for b in range(blocks):
+            own = within == b
+            width = min(block, len(self.ids) - b * block)
+            self.parts.append(Postings(term[own], place[own] - b * block, value[own], len(idf), width))
+
+    def vectors(self, features: list[list[int]], counts: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unit vectors of texts as entries: text, term, weight."""
+        sizes = np.array([len(f) for f in features], np.int64)
+        text = np.repeat(np.arange(len(features)), sizes)
+        term = np.fromiter((t for f in features for t in f), np.int64, int(sizes.sum()))
+        often = np.fromiter((n for c in counts for n in c), np.float64, len(term))
+        weight = self.idf[term] * (1 + np.log(often))
+        length = np.sqrt(np.bincount(text, weight**2, len(features)))
+        return text, term, weight / length[text]
 
     def nearest(
-        self,
-        features: list[int],
-        count: int,
-        without: int = -1,
-        counts: list[int] | None = None,
-        rest: float = 0.0,
-    ) -> list[tuple[float, int]]:
-        """The ``count`` nearest examples as (cosine, place), nearest first; equal ones by place."""
-        if not len(self.ids):
-            return []
-        query = self.vector(features, counts, rest)
-        cuts = [slice(self.ends[f - 1] if f else 0, self.ends[f]) for f in features]
-        weights = np.concatenate([self.values[c] for c in cuts])
-        weights *= np.repeat(query, [c.stop - c.start for c in cuts])
-        places = np.concatenate([self.places[c] for c in cuts])
-        scores = np.bincount(places, weights=weights, minlength=len(self.ids)).round(12)
-        if without >= 0:
-            scores[without] = 0.0
-        least = np.partition(scores, -count)[-count] if len(scores) > count else 0.0
-        places = np.flatnonzero((scores >= least) & (scores > 0))
-        first = places[np.lexsort((places, -scores[places]))[:count]]
-        return list(zip(scores[first].tolist(), first.tolist()))
-
-    def vote(self, best: list[tuple[float, int]]) -> float:
-        """Share of toxicity among the nearest, by their cosine and the rows they stand for."""
-        share = [0.0, 0.0]
-        for cosine, place in best:
-            label = self.labels[place]
-            # The inverse of a distance that is never zero.
-            share[label] += self.weights[label] / (1.05 - cosine)
-        return share[1] / (share[0] + share[1])
+        self, features: list[list[int]], counts: list[list[int]], count: int, without: list[int] | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """The ``count`` nearest examples of each text as cosines and places, nearest first; equal ones by place.
+
+        Cosines are rounded to twelve places. Where fewer examples share a term
+        with a text, the rest have cosine 0. ``without`` names one example to
+        leave out for each text.
+        """
+        some = len(features)
+        best, at = np.zeros((some, count)), np.full((some, count), len(self.ids))
+        if not self.parts or not some:
+            return best, at
+        text, term, weight = self.vectors(features, counts)
+        # Rounding may put a cosine above its bound by less than this.
+        bounds = self.bounds.products(text, term, weight, some) + 1e-9
+        without = np.full(some, -1) if without is None else np.asarray(without)
+        starts = np.append(np.searchsorted(text, np.arange(some)), len(text))
+        turns = np.argsort(-bounds, axis=1, kind="stable")
+        for turn in range(len(self.parts)):
+            # The next best block of each text that could still hold a nearer example.
+            block = turns[:, turn]
+            bound = bounds[np.arange(some), block]
+            open_ = np.flatnonzero((bound > 1e-9) & (bound >= best[:, -1]))
+            if not len(open_):
+                break
+            self.searched += len(open_)
+            order = open_[np.argsort(block[open_], kind="stable")]
+            for rows in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+                b = int(block[rows[0]])
+                sizes = starts[rows + 1] - starts[rows]
+                entries = np.repeat(starts[rows] - starts_of(sizes), sizes) + np.arange(sizes.sum())
+                local = np.repeat(np.arange(len(rows)), sizes)
+                scores = self.parts[b].products(local, term[entries], weight[entries], len(rows)).round(12)
+                places = np.arange(b * self.block, b * self.block + scores.shape[1])
+                scores[places[None, :] == without[rows][:, None]] = 0.0
+                every = np.concatenate((best[rows], scores), axis=1)
+                spots = np.concatenate((at[rows], np.broadcast_to(places, scores.shape)), axis=1)
+                spots = np.where(every > 0, spots, len(self.ids))
+                first = np.lexsort((spots, -every), axis=1)[:, :count]
+                best[rows] = np.take_along_axis(every, first, 1)
+                at[rows] = np.take_along_axis(spots, first, 1)
+        return best, at
+
+    def votes(self, cosines: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Share of toxicity among the nearest of each text, by their cosine and the rows they stand for; NaN for none."""
+        labels = np.append(self.labels, 0)[places]
+        # The inverse of a distance that is never zero.
+        share = np.where(cosines > 0, np.array(self.weights)[labels] / (1.05 - cosines), 0.0)
+        with np.errstate(invalid="ignore"):
+            return (share * labels).sum(axis=1) / share.sum(axis=1)
 
 
 def calibrate(votes: list[float], labels: list[int], weights: list[float]) -> tuple[list[float], list[float]]:
@@ -252,46 +334,52 @@ def calibrate(votes: list[float], labels: list[int], weights: list[float]) -> tu
 class Model:
     """Index, calibration, and the score of texts that share no term with an example."""
 
-    def __init__(self, rows: list[tuple], idf: np.ndarray, rarest: float, classes: dict[int, int]):
+    def __init__(self, rows: list[tuple], idf: np.ndarray, classes: dict[int, int]):
         size = Counter(r[1] for r in rows)
         weights = tuple(classes.get(c, 0) / max(size[c], 1) for c in (0, 1))
         empty = [0.5 * weights[r[1]] if not r[2] else 0.0 for r in rows]
         toxic = sum(w for w, r in zip(empty, rows) if r[1])
         self.without = toxic / sum(empty) if sum(empty) else 0.0
-        self.rarest = rarest
         self.index = ExampleIndex(rows, idf, weights)
         self.line = ([0.0], [self.without])
-        votes, labels, own = [], [], []
-        for place, (features, counts) in enumerate(zip(self.index.features, self.index.counts)):
-            best = self.index.nearest(features, NEIGHBOURS, place, counts)
-            if best:
-                votes.append(self.index.vote(best))
-                labels.append(int(self.index.labels[place]))
-                own.append(weights[labels[-1]])
-        if votes:
-            self.line = calibrate(votes, labels, own)
-
-    def score(self, features: list[int], counts: list[int], rest: float) -> tuple[float, list[int], list[float]]:
-        """Calibrated score, and the three nearest examples with their cosines."""
-        rest *= self.rarest**2
-        best = self.index.nearest(features, NEIGHBOURS, -1, counts, rest) if features else []
-        if not best:
-            return self.without, [], []
-        score = float(np.interp(self.index.vote(best), *self.line))
-        return score, [self.index.ids[p] for _, p in best[:3]], [c for c, _ in best[:3]]
+        votes = []
+        for start in range(0, len(self.index.ids), TOGETHER):
+            stop = min(start + TOGETHER, len(self.index.ids))
+            own = list(range(start, stop))
+            found = self.index.nearest(self.index.features[start:stop], self.index.counts[start:stop], NEIGHBOURS, own)
+            votes += self.index.votes(*found).tolist()
+        known = [(v, int(label)) for v, label in zip(votes, self.index.labels) if v == v]
+        if known:
+            votes, labels = zip(*known)
+            self.line = calibrate(list(votes), list(labels), [weights[label] for label in labels])
+
+    def score(self, features: list[list[int]], counts: list[list[int]]) -> list[tuple[float, list[int], list[float]]]:
+        """Calibrated score of each text, and the three nearest examples with their cosines."""
+        out = [(self.without, [], [])] * len(features)
+        some = [i for i, f in enumerate(features) if f]
+        for start in range(0, len(some), TOGETHER):
+            part = some[start : start + TOGETHER]
+            cosines, places = self.index.nearest([features[i] for i in part], [counts[i] for i in part], NEIGHBOURS)
+            scores = np.interp(self.index.votes(cosines, places), *self.line)
+            for i, score, cosine, place in zip(part, scores.tolist(), cosines[:, :3].tolist(), places[:, :3].tolist()):
+                if cosine[0] > 0:
+                    near = [(self.index.ids[p], c) for p, c in zip(place, cosine) if c > 0]
+                    out[i] = (score, [n[0] for n in near], [n[1] for n in near])
+        return out
 
 
 def _scored(shared):
     known: dict[tuple[int, int], tuple] = {}
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for k1, k2, *terms in zip(*[batch[n].to_pylist() for n in ("k1", "k2", "features", "counts", "rest")]):
-            if (k1, k2) not in known:
-                if len(known) > REMEMBERED_TEXTS:
-                    known.clear()
-                known[k1, k2] = shared.value.score(*terms)
-            out.append(known[k1, k2])
+        if len(known) > REMEMBERED_TEXTS:
+            known.clear()
+        keys = list(zip(batch["k1"].to_pylist(), batch["k2"].to_pylist()))
+        new = {key: row for row, key in enumerate(keys) if key not in known}
+        rows = batch.take(pa.array(list(new.values()), pa.int64()))
+        found = shared.value.score(rows["features"].to_pylist(), rows["counts"].to_pylist())
+        known.update(zip(new, found))
+        out = [known[key] for key in keys]
         columns = [
             pa.array([o[0] for o in out], pa.float64()),
             pa.array([o[1] for o in out], pa.list_(pa.int64())),
@@ -317,10 +405,10 @@ def score_toxicity(
 
     ``k1, k2`` name the text by its content. At most ``EXAMPLES`` labelled texts
     of each class, of rows for which ``learn`` holds (over ``doc_id``), are the
-    examples, all of whose words are terms; everything else is counted over all
-    documents. Words that no example has cannot change which examples are
-    nearest; in the length of a text each counts as a word of one document. A
-    score depends on nothing but the text. Texts that share no term with an
+    examples, all of whose words are terms, with IDF counted over all
+    documents; words that no example has are no terms. ``cosines`` are those of
+    the nearest examples in ``evidence``. A score depends on nothing but the
+    text. Of the texts of an example's id, the smallest is taken. Texts that share no term with an
     example, null and empty ones among them, have no neighbour and get the
     share of toxic rows among examples without a word; without labels of
     both classes every score is that of the examples there are, or 0. Labels
@@ -344,14 +432,14 @@ def score_toxicity(
     chosen = labels.where("toxic = 1").orderBy(*order).limit(EXAMPLES)
     chosen = chosen.union(labels.where("toxic = 0").orderBy(*order).limit(EXAMPLES))
     chosen = F.broadcast(stored(chosen, "chosen"))  # 2 * EXAMPLES rows at most
-    examples = docs.join(chosen, "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"])
+    examples = docs.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     examples = stored(examples, "examples")
     features = choose_features(examples.select("text", "toxic"))
 
     words = map_batches(examples.select("text"), _example_words, "word string").distinct()
     vocabulary = Vocabulary(features, sorted(r["word"] for r in words.collect()))
     shared = spark.sparkContext.broadcast(vocabulary)
-    termed = "features array<int>, counts array<int>, rest double"
+    termed = "features array<int>, counts array<int>"
     featured = stored(map_batches(docs, _termed(shared), f"doc_id bigint, k1 bigint, k2 bigint, {termed}"), "features")
     total = featured.count()
     within = np.zeros(vocabulary.size)
@@ -362,7 +450,7 @@ def score_toxicity(
     idf[: vocabulary.features] *= BOOST
     rows = map_batches(examples.select("doc_id", "toxic", "text"), _termed(shared), f"doc_id bigint, toxic int, {termed}")
     rows = [(r["doc_id"], r["toxic"], r["features"], r["counts"]) for r in rows.collect()]
-    model = spark.sparkContext.broadcast(Model(rows, idf, 1 + math.log((1 + total) / 2), classes))
+    model = spark.sparkContext.broadcast(Model(rows, idf, classes))
     scored = whole_batches(
         featured,
         _scored(model),

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
+import pickle
 import random
+import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -13,7 +17,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from telemill.llm import language, stages
+from telemill.llm import language, stages, toxicity
 from telemill.llm.exact_dedup import OP4_SQL, DigestIndex, add_documents
 from telemill.llm.language import identify
 from telemill.llm.line_quality import quality_rules
@@ -186,16 +190,71 @@ def test_toxicity_without_features(spark):
     assert all(got[i].evidence for i in range(160))
 
 
-def test_nearest_is_exact():
-    rows = [(i, i % 2, sorted(R.sample(range(40), R.randint(0, 6)))) for i in range(400)]
-    index = ExampleIndex(rows, np.linspace(1, 4, 40), (1.0, 1.0))
-    vectors = [dict(zip(f, index.vector(f))) for f in index.features]
-    for query in index.features[::7]:
-        own = dict(zip(query, index.vector(query)))
-        every = [sum(v * own.get(k, 0) for k, v in x.items()) for x in vectors]
-        got = index.nearest(query, 10)
-        assert [c for c, _ in got] == pytest.approx(sorted((c for c in every if c > 0), reverse=True)[:10])
-        assert [c for c, _ in got] == pytest.approx([every[p] for _, p in got])
+def plain_nearest(index, text, count, without=-1):
+    """(cosine, place) of the nearest examples, from all cosines."""
+    _, term, weight = index.vectors([text[0]], [text[1]])
+    own = dict(zip(term.tolist(), weight.tolist()))
+    every = []
+    for place, (features, counts) in enumerate(zip(index.features, index.counts)):
+        _, term, weight = index.vectors([features], [counts])
+        cosine = round(sum(w * own.get(t, 0.0) for t, w in zip(term.tolist(), weight.tolist())), 12)
+        if cosine > 0 and place != without:
+            every.append((-cosine, place))
+    return [(-c, p) for c, p in sorted(every)[:count]]
+
+
+@pytest.mark.parametrize("block", [1, 16, 128, 1000])
+def test_nearest_is_exact(block):
+    rows = []
+    for i in range(400):
+        terms = sorted(R.sample(range(60), R.randint(0, 6)))
+        rows.append((i, i % 2, terms, [R.randint(1, 3) for _ in terms]))
+    rows += [(400 + i, 0, [3, 7], [1, 1]) for i in range(30)]  # ties
+    index = ExampleIndex(rows, np.linspace(1, 4, 61), (1.0, 1.0), block)
+    texts = [(index.features[i], index.counts[i]) for i in range(0, len(index.ids), 7)] + [([60], [1])]
+    sent = pickle.loads(pickle.dumps(index))  # as the tasks get it
+    cosines, places = sent.nearest([t[0] for t in texts], [t[1] for t in texts], 10)
+    without = [*range(0, len(index.ids), 7), -1]
+    others = index.nearest([t[0] for t in texts], [t[1] for t in texts], 10, without)
+    for i, text in enumerate(texts):
+        for found, left_out in (((cosines, places), -1), (others, without[i])):
+            got = [(c, p) for c, p in zip(found[0][i].tolist(), found[1][i].tolist()) if c > 0]
+            want = plain_nearest(index, text, 10, left_out)
+            assert [c for c, _ in got] == pytest.approx([c for c, _ in want], abs=2e-12)
+            assert [p for _, p in got] == [p for _, p in want]
+
+
+def test_blocks_that_cannot_hold_a_nearest_example_are_skipped():
+    rows = [(i, i % 2, [i // 50, 20 + i % 3]) for i in range(1000)]  # twenty groups of like ones
+    index = ExampleIndex(rows, np.full(23, 2.0), (1.0, 1.0), 50)
+    texts = [([group, 22], [1, 1]) for group in range(20)]
+    cosines, _ = index.nearest([t[0] for t in texts], [t[1] for t in texts], 5)
+    assert index.searched < len(texts) * len(index.parts) / 4
+    assert cosines[3].tolist() == pytest.approx([c for c, _ in plain_nearest(index, texts[3], 5)])
+
+
+def test_cosines_are_those_of_tf_idf_over_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEAST_CHI2", 1e9)  # words alone
+    words = [f"{R.choice(VOCABULARY)}{c}" for c in "abcdefghij"]
+    texts = [" ".join(R.choices(words, k=R.randint(1, 12))) + (" everywhere" if i % 3 else " rareword" + "x" * i) for i in range(150)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, toxic int")
+    rows = score_toxicity(table(spark, texts), labels, F.lit(True)).collect()
+    letters = re.compile(r"[^\W\d_]{3,}")
+    counted = [Counter(letters.findall(t.lower())) for t in texts]
+    known = {w for c in counted[:20] for w in c}
+    df = Counter(w for c in counted for w in c)
+
+    def vector(c):
+        weights = {w: (1 + math.log(n)) * (1 + math.log((1 + len(texts)) / (1 + df[w]))) for w, n in c.items() if w in known}
+        length = math.sqrt(sum(v * v for v in weights.values()))
+        return {w: v / length for w, v in weights.items()}
+
+    vectors = [vector(c) for c in counted]
+    for row in rows:
+        own = vectors[row.doc_id]
+        every = sorted((sum(v * own.get(w, 0) for w, v in vectors[e].items()) for e in range(20)), reverse=True)
+        assert row.cosines == pytest.approx([c for c in every[:3] if c > 0])
+        assert [sum(v * own.get(w, 0) for w, v in vectors[e].items()) for e in row.evidence] == pytest.approx(row.cosines)
 
 
 def test_sentencepiece(spark):
