@@ -229,6 +229,10 @@ class ExampleIndex:
         self.entries = place.astype(np.int32), term.astype(np.int32), value
         self._build()
 
+    def pack(self) -> None:
+        """Leave the entries only, which are all that travels; the driver searches no more."""
+        self.bounds, self.parts, self.features, self.counts = None, [], [], []
+
     def __getstate__(self) -> dict:
         """What travels to the tasks: the entries, of which each worker builds the blocks once."""
         return {n: v for n, v in self.__dict__.items() if n not in ("bounds", "parts", "features", "counts")}
@@ -343,8 +347,8 @@ class Model:
         self.index = ExampleIndex(rows, idf, weights)
         self.line = ([0.0], [self.without])
         votes = []
-        for start in range(0, len(self.index.ids), TOGETHER):
-            stop = min(start + TOGETHER, len(self.index.ids))
+        for start in range(0, len(self.index.ids), TOGETHER // 4):
+            stop = min(start + TOGETHER // 4, len(self.index.ids))
             own = list(range(start, stop))
             found = self.index.nearest(self.index.features[start:stop], self.index.counts[start:stop], NEIGHBOURS, own)
             votes += self.index.votes(*found).tolist()
@@ -352,6 +356,7 @@ class Model:
         if known:
             votes, labels = zip(*known)
             self.line = calibrate(list(votes), list(labels), [weights[label] for label in labels])
+        self.index.pack()
 
     def score(self, features: list[list[int]], counts: list[list[int]]) -> list[tuple[float, list[int], list[float]]]:
         """Calibrated score of each text, and the three nearest examples with their cosines."""
@@ -437,7 +442,7 @@ def score_toxicity(
     features = choose_features(examples.select("text", "toxic"))
 
     words = map_batches(examples.select("text"), _example_words, "word string").distinct()
-    vocabulary = Vocabulary(features, sorted(r["word"] for r in words.collect()))
+    vocabulary = Vocabulary(features, sorted(words.toArrow()["word"].to_pylist()))
     shared = spark.sparkContext.broadcast(vocabulary)
     termed = "features array<int>, counts array<int>"
     featured = stored(map_batches(docs, _termed(shared), f"doc_id bigint, k1 bigint, k2 bigint, {termed}"), "features")
@@ -449,8 +454,10 @@ def score_toxicity(
     idf = 1 + np.log((1 + total) / (1 + within))
     idf[: vocabulary.features] *= BOOST
     rows = map_batches(examples.select("doc_id", "toxic", "text"), _termed(shared), f"doc_id bigint, toxic int, {termed}")
-    rows = [(r["doc_id"], r["toxic"], r["features"], r["counts"]) for r in rows.collect()]
+    rows = rows.toArrow()
+    rows = list(zip(*[rows[name].to_pylist() for name in ("doc_id", "toxic", "features", "counts")]))
     model = spark.sparkContext.broadcast(Model(rows, idf, classes))
+    del rows
     scored = whole_batches(
         featured,
         _scored(model),
