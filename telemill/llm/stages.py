@@ -57,10 +57,12 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     keys = [F.col("doc_id").alias("_id"), "text_sha256"]
     dropped = _listed(decided.where("not kept").select(*keys).distinct(), "dropped")
-    # A row that stays may be there several times; only these are moved to choose one.
-    several = decided.where("kept or (keep_id is null and doc_id is null)").groupBy(*keys).count().where("count > 1")
-    several = _listed(several.select("_id", "text_sha256"), "several")
     kept = docs.join(dropped, same(dropped), "left_anti")
+    several = stored(decided.where("kept").groupBy(*keys).count().where("count > 1"), "several")
+    if several.isEmpty():
+        return kept
+    # A row that stays is there several times; only these rows are moved to choose one.
+    several = _listed(several.select("_id", "text_sha256"), "several")
     once = kept.join(several, same(several), "left_anti")
     first = kept.join(several, same(several), "left_semi").withColumn("_digest", digest)
     return once.unionByName(first.dropDuplicates(["doc_id", "_digest"]).drop("_digest"))
