@@ -381,9 +381,10 @@ def _scored(shared):
             known.clear()
         keys = list(zip(batch["k1"].to_pylist(), batch["k2"].to_pylist()))
         new = {key: row for row, key in enumerate(keys) if key not in known}
-        rows = batch.take(pa.array(list(new.values()), pa.int64()))
-        found = shared.value.score(rows["features"].to_pylist(), rows["counts"].to_pylist())
-        known.update(zip(new, found))
+        keys_of, places = list(new), pa.array(list(new.values()), pa.int64())
+        for start in range(0, len(keys_of), TOGETHER):  # terms become Python numbers a part at a time
+            rows = [batch[n].take(places.slice(start, TOGETHER)).to_pylist() for n in ("features", "counts")]
+            known.update(zip(keys_of[start : start + TOGETHER], shared.value.score(*rows)))
         out = [known[key] for key in keys]
         columns = [
             pa.array([o[0] for o in out], pa.float64()),
