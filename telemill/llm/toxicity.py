@@ -211,38 +211,54 @@ class Postings:
         return out + np.bincount(cells, shares, queries * self.width).reshape(queries, self.width)
 
 
+def _views(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column as pieces of its values, so that no number becomes a Python object."""
+    if isinstance(column, pa.ChunkedArray):
+        return [piece for chunk in column.chunks for piece in _views(chunk)]
+    ends = column.offsets.to_numpy()
+    values = column.values.to_numpy()
+    return [values[start:end] for start, end in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+def _flat(lists: list, kind: type) -> np.ndarray:
+    return np.concatenate([np.asarray(some, kind) for some in lists]) if lists else np.zeros(0, kind)
+
+
 class ExampleIndex:
     """Inverted index of unit vectors over the examples that have a term, in blocks of similar ones.
 
     ``rows`` are id, label (0 or 1) and terms of an example, and how often it
     has each (once if left out); ``weights`` the rows that an example stands for.
+    Blocks are built by whoever searches first, so the driver, which does not, has none.
     """
 
     def __init__(self, rows: list[tuple], idf: np.ndarray, weights: tuple[float, float], block: int = BLOCK):
-        rows = sorted((r for r in rows if r[2]), key=lambda r: (r[2], r[1], str(r[0])))
+        # Terms in four bytes each, highest first, sort like the lists of them.
+        rows = sorted((r for r in rows if len(r[2])), key=lambda r: (np.asarray(r[2], ">i4").tobytes(), r[1], str(r[0])))
         self.idf, self.weights, self.block = idf, weights, block
-        self.ids, self.features = [r[0] for r in rows], [r[2] for r in rows]
-        self.counts = [r[3] if len(r) > 3 else [1] * len(r[2]) for r in rows]
+        self.ids = [r[0] for r in rows]
         self.labels = np.array([r[1] for r in rows], np.int64)
+        sizes = np.array([len(r[2]) for r in rows], np.int64)
+        self.terms = _flat([r[2] for r in rows], np.int32)
+        self.often = _flat([r[3] if len(r) > 3 else [1] * len(r[2]) for r in rows], np.int32)
+        self.ends = np.cumsum(sizes)
         self.searched = 0  # pairs of text and block of which all cosines were worked out
-        place, term, value = self.vectors(self.features, self.counts)
-        self.entries = place.astype(np.int32), term.astype(np.int32), value
-        self._build()
-
-    def pack(self) -> None:
-        """Leave the entries only, which are all that travels; the driver searches no more."""
-        self.bounds, self.parts, self.features, self.counts = None, [], [], []
+        self.bounds, self.parts = None, None
 
     def __getstate__(self) -> dict:
-        """What travels to the tasks: the entries, of which each worker builds the blocks once."""
-        return {n: v for n, v in self.__dict__.items() if n not in ("bounds", "parts", "features", "counts")}
+        """What travels to the tasks: the terms, of which each worker builds the blocks once."""
+        return {**self.__dict__, "bounds": None, "parts": None}
+
+    @property
+    def features(self) -> list[np.ndarray]:
+        return np.split(self.terms, self.ends[:-1]) if self.ids else []
 
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self._build()
+    @property
+    def counts(self) -> list[np.ndarray]:
+        return np.split(self.often, self.ends[:-1]) if self.ids else []
 
     def _build(self) -> None:
-        place, term, value = self.entries
+        place, term, value = self.vectors(self.features, self.counts)
         idf, block = self.idf, self.block
         blocks = -(-len(self.ids) // block)
         within = place // block
@@ -257,18 +273,17 @@ class ExampleIndex:
             width = min(block, len(self.ids) - b * block)
             self.parts.append(Postings(term[own], place[own] - b * block, value[own], len(idf), width))
 
-    def vectors(self, features: list[list[int]], counts: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def vectors(self, features: list, counts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Unit vectors of texts as entries: text, term, weight."""
         sizes = np.array([len(f) for f in features], np.int64)
         text = np.repeat(np.arange(len(features)), sizes)
-        term = np.fromiter((t for f in features for t in f), np.int64, int(sizes.sum()))
-        often = np.fromiter((n for c in counts for n in c), np.float64, len(term))
+        term, often = _flat(features, np.int64), _flat(counts, np.float64)
         weight = self.idf[term] * (1 + np.log(often))
         length = np.sqrt(np.bincount(text, weight**2, len(features)))
         return text, term, weight / length[text]
 
     def nearest(
-        self, features: list[list[int]], counts: list[list[int]], count: int, without: list[int] | None = None
+        self, features: list, counts: list, count: int, without: list[int] | None = None
     ) -> tuple[np.ndarray, np.ndarray]:
         """The ``count`` nearest examples of each text as cosines and places, nearest first; equal ones by place.
 
@@ -278,8 +293,10 @@ class ExampleIndex:
         """
         some = len(features)
         best, at = np.zeros((some, count)), np.full((some, count), len(self.ids))
-        if not self.parts or not some:
+        if not self.ids or not some:
             return best, at
+        if self.parts is None:
+            self._build()
         text, term, weight = self.vectors(features, counts)
         # Rounding may put a cosine above its bound by less than this.
         bounds = self.bounds.products(text, term, weight, some) + 1e-9
@@ -335,33 +352,50 @@ def calibrate(votes: list[float], labels: list[int], weights: list[float]) -> tu
     return [p[0] / p[2] for p in pools], [p[1] / p[2] for p in pools]
 
 
+def _votes(shared):
+    """Votes of the examples of a batch, each without itself."""
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        index = shared.value
+        place = {doc_id: at for at, doc_id in enumerate(index.ids)}
+        some = [(place[i], f, c) for i, f, c in zip(batch["doc_id"].to_pylist(), *map(_views, (batch["features"], batch["counts"]))) if len(f)]
+        votes = []
+        for start in range(0, len(some), TOGETHER // 4):
+            own, features, counts = zip(*some[start : start + TOGETHER // 4])
+            votes += index.votes(*index.nearest(features, counts, NEIGHBOURS, own)).tolist()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([at for at, _, _ in some], pa.int32()), pa.array(votes, pa.float64())], names=["place", "vote"]
+        )
+
+    return make
+
+
+def share_without(rows: list[tuple], weights: tuple[float, float]) -> float:
+    """Share of toxic rows among the examples without a term, for texts that share none with an example."""
+    empty = [0.5 * weights[r[1]] if not len(r[2]) else 0.0 for r in rows]
+    toxic = sum(w for w, r in zip(empty, rows) if r[1])
+    return toxic / sum(empty) if sum(empty) else 0.0
+
+
+def fitted_line(index: ExampleIndex, votes: list[float], without: float) -> tuple[list[float], list[float]]:
+    """Calibration by the votes of all examples, in order of their places; NaN for none."""
+    known = [(v, int(label)) for v, label in zip(votes, index.labels) if v == v]
+    if not known:
+        return [0.0], [without]
+    votes, labels = zip(*known)
+    return calibrate(list(votes), list(labels), [index.weights[label] for label in labels])
+
+
 class Model:
     """Index, calibration, and the score of texts that share no term with an example."""
 
-    def __init__(self, rows: list[tuple], idf: np.ndarray, classes: dict[int, int]):
-        size = Counter(r[1] for r in rows)
-        weights = tuple(classes.get(c, 0) / max(size[c], 1) for c in (0, 1))
-        empty = [0.5 * weights[r[1]] if not r[2] else 0.0 for r in rows]
-        toxic = sum(w for w, r in zip(empty, rows) if r[1])
-        self.without = toxic / sum(empty) if sum(empty) else 0.0
-        self.index = ExampleIndex(rows, idf, weights)
-        self.line = ([0.0], [self.without])
-        votes = []
-        for start in range(0, len(self.index.ids), TOGETHER // 4):
-            stop = min(start + TOGETHER // 4, len(self.index.ids))
-            own = list(range(start, stop))
-            found = self.index.nearest(self.index.features[start:stop], self.index.counts[start:stop], NEIGHBOURS, own)
-            votes += self.index.votes(*found).tolist()
-        known = [(v, int(label)) for v, label in zip(votes, self.index.labels) if v == v]
-        if known:
-            votes, labels = zip(*known)
-            self.line = calibrate(list(votes), list(labels), [weights[label] for label in labels])
-        self.index.pack()
-
-    def score(self, features: list[list[int]], counts: list[list[int]]) -> list[tuple[float, list[int], list[float]]]:
+    def __init__(self, index: ExampleIndex, line: tuple[list[float], list[float]], without: float):
+        self.index, self.line, self.without = index, line, without
+
+    def score(self, features: list, counts: list) -> list[tuple[float, list[int], list[float]]]:
         """Calibrated score of each text, and the three nearest examples with their cosines."""
         out = [(self.without, [], [])] * len(features)
-        some = [i for i, f in enumerate(features) if f]
+        some = [i for i, f in enumerate(features) if len(f)]
         for start in range(0, len(some), TOGETHER):
             part = some[start : start + TOGETHER]
             cosines, places = self.index.nearest([features[i] for i in part], [counts[i] for i in part], NEIGHBOURS)
@@ -373,7 +407,7 @@ class Model:
         return out
 
 
-def _scored(shared):
+def _scored(shared, line: tuple[list[float], list[float]], without: float):
     known: dict[tuple[int, int], tuple] = {}
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -381,10 +415,11 @@ def _scored(shared):
             known.clear()
         keys = list(zip(batch["k1"].to_pylist(), batch["k2"].to_pylist()))
         new = {key: row for row, key in enumerate(keys) if key not in known}
-        keys_of, places = list(new), pa.array(list(new.values()), pa.int64())
-        for start in range(0, len(keys_of), TOGETHER):  # terms become Python numbers a part at a time
-            rows = [batch[n].take(places.slice(start, TOGETHER)).to_pylist() for n in ("features", "counts")]
-            known.update(zip(keys_of[start : start + TOGETHER], shared.value.score(*rows)))
+        keys_of, places = list(new), list(new.values())
+        model, rows = Model(shared.value, line, without), [_views(batch[n]) for n in ("features", "counts")]
+        for start in range(0, len(keys_of), TOGETHER):
+            part = [[row[place] for place in places[start : start + TOGETHER]] for row in rows]
+            known.update(zip(keys_of[start : start + TOGETHER], model.score(*part)))
         out = [known[key] for key in keys]
         columns = [
             pa.array([o[0] for o in out], pa.float64()),
@@ -399,6 +434,16 @@ def _scored(shared):
     return make
 
 
+def _fitted(example_terms: DataFrame, idf: np.ndarray, classes: dict[int, int]) -> tuple[ExampleIndex, float]:
+    """The index of all examples, and the score of texts that share no term with one."""
+    rows = example_terms.toArrow()
+    views = [_views(rows[name]) for name in ("features", "counts")]
+    rows = list(zip(rows["doc_id"].to_pylist(), rows["toxic"].to_pylist(), *views))
+    size = Counter(r[1] for r in rows)
+    weights = tuple(classes.get(c, 0) / max(size[c], 1) for c in (0, 1))
+    return ExampleIndex(rows, idf, weights), share_without(rows, weights)
+
+
 def score_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -445,23 +490,32 @@ def score_toxicity(
     words = map_batches(examples.select("text"), _example_words, "word string").distinct()
     vocabulary = Vocabulary(features, sorted(words.toArrow()["word"].to_pylist()))
     shared = spark.sparkContext.broadcast(vocabulary)
+    size, chosen_features = vocabulary.size, vocabulary.features
+    del vocabulary, features
     termed = "features array<int>, counts array<int>"
     featured = stored(map_batches(docs, _termed(shared), f"doc_id bigint, k1 bigint, k2 bigint, {termed}"), "features")
     total = featured.count()
-    within = np.zeros(vocabulary.size)
-    counted = featured.select("features").mapInArrow(_documents_with(vocabulary.size), "term bigint, n bigint")
-    counted = counted.groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    within[counted["term"]] = counted["n"]
+    within = np.zeros(size)
+    counted = featured.select("features").mapInArrow(_documents_with(size), "term bigint, n bigint")
+    counted = counted.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    within[counted["term"].to_numpy()] = counted["n"].to_numpy()
+    del counted
     idf = 1 + np.log((1 + total) / (1 + within))
-    idf[: vocabulary.features] *= BOOST
-    rows = map_batches(examples.select("doc_id", "toxic", "text"), _termed(shared), f"doc_id bigint, toxic int, {termed}")
-    rows = rows.toArrow()
-    rows = list(zip(*[rows[name].to_pylist() for name in ("doc_id", "toxic", "features", "counts")]))
-    model = spark.sparkContext.broadcast(Model(rows, idf, classes))
-    del rows
+    idf[:chosen_features] *= BOOST
+    example_terms = map_batches(
+        examples.select("doc_id", "toxic", "text"), _termed(shared), f"doc_id bigint, toxic int, {termed}"
+    )
+    example_terms = stored(example_terms, "example-terms")
+    index, without = _fitted(example_terms, idf, classes)
+    shared = spark.sparkContext.broadcast(index)
+    # The driver keeps what it needs of the index and searches nothing: examples are scored by tasks like texts.
+    votes = whole_batches(example_terms.drop("toxic"), _votes(shared), "place int, vote double").toArrow()
+    votes = dict(zip(votes["place"].to_pylist(), votes["vote"].to_pylist()))
+    line = fitted_line(index, [votes[at] for at in range(len(index.ids))], without)
+    del index
     scored = whole_batches(
         featured,
-        _scored(model),
+        _scored(shared, line, without),
         "doc_id bigint, k1 bigint, k2 bigint, score double, evidence array<bigint>, cosines array<double>",
     )
     return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
